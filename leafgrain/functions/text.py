@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whitespace and word classes (Unicode-aware in Java regex).
 SPACE_CLASS = r"[\s\x1C-\x1F]"
@@ -86,24 +87,30 @@ def highlight_snippet(text: Column, folded_terms: Column, size: int = SNIPPET_TO
     """Mark matching words inside a window that starts at the first match.
 
     The window choice approximates the built-in snippet of a full-text engine:
-    it begins at the first match instead of scoring every window.
+    it begins at the first match instead of scoring every window. One regex pass
+    finds the match; only the words of the window are looked at one by one.
     """
-    words = F.split(normalize_ws(text), " ")
-    hits = F.transform(words, lambda w: F.arrays_overlap(word_tokens(fold_term(w)), folded_terms))
-    first = F.array_position(hits, F.lit(True)).cast("int")
-    start = F.greatest(F.least(first, F.size(words) - size + 1), F.lit(1))
-    window = F.slice(words, start, size)
+    compact = normalize_ws(text)
+    pattern = F.concat(
+        F.lit(f"(^|(?!{WORD_CLASS}).)("), F.array_join(folded_terms, "|"),
+        F.lit(f")(?!{WORD_CLASS})"),
+    )
+    at = F.regexp_instr(fold_term(compact), pattern)
+    words = F.split(compact, " ")
+    before = F.substring(compact, F.lit(1), at)
+    first = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) + 1
+    total = word_count(compact)
+    start = F.greatest(F.least(first, total - size + 1), F.lit(1))
     marked = F.transform(
-        window,
+        F.slice(words, start, size),
         lambda w: F.when(
-            F.arrays_overlap(word_tokens(fold_term(w)), folded_terms),
-            F.concat(F.lit("<mark>"), w, F.lit("</mark>")),
+            F.rlike(fold_term(w), pattern), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))
         ).otherwise(w),
     )
     return F.concat(
         F.when(start > 1, F.lit("...")).otherwise(F.lit("")),
         F.array_join(marked, " "),
-        F.when(start + size - 1 < F.size(words), F.lit("...")).otherwise(F.lit("")),
+        F.when(start + size - 1 < total, F.lit("...")).otherwise(F.lit("")),
     )
 
 
@@ -146,7 +153,7 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(shared / union)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compat_fold(texts: pd.Series) -> pd.Series:
     """Compatibility normalization and full case folding (no JVM equivalent)."""
     return texts.map(

@@ -393,8 +393,12 @@ def source_priority(c: Corpus):
 @query(
     "ordered_distinct",
     o.sql(
-        f"SELECT doc_id, pos, array_to_string({o.ordered_distinct('string_split(line, chr(32))')},"
-        " '|') AS value FROM lines", "lines",
+        "SELECT l.doc_id, l.pos, coalesce(value, '') AS value FROM lines l LEFT JOIN (SELECT doc_id,"
+        " pos, string_agg(v, '|' ORDER BY first) AS value FROM (SELECT doc_id, pos, v, min(i) AS first"
+        f" FROM (SELECT doc_id, pos, {o.strip('w')} AS v, i FROM (SELECT doc_id, pos,"
+        " unnest(string_split(line, ' ')) AS w, unnest(range(len(string_split(line, ' ')))) AS i"
+        " FROM lines)) WHERE v <> '' GROUP BY ALL) GROUP BY ALL) t"
+        " ON l.doc_id = t.doc_id AND l.pos = t.pos", "lines",
     ),
 )
 def ordered_distinct(c: Corpus):
