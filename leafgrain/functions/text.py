@@ -14,8 +14,10 @@ SPACE_CLASS = r"[\s\x1C-\x1F]"
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
 # Accents folded to their base letter by the full-text tokenizer.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+ACCENTS = {
+    "a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü",
+    "y": "ýÿ",
+}
 
 # Words that carry no content in summaries and quotes.
 STOPWORDS = (
@@ -73,8 +75,12 @@ def word_tokens(text: Column) -> Column:
 
 
 def fold_term(term: Column) -> Column:
-    """Case- and accent-insensitive form of a search term."""
-    return F.translate(F.lower(term), ACCENTED, UNACCENTED)
+    """Case- and accent-insensitive form of a search term or text."""
+    low = F.lower(term)
+    folded = low
+    for base, accented in ACCENTS.items():
+        folded = F.regexp_replace(folded, f"[{accented}]", base)
+    return F.when(low.rlike("[à-ÿ]"), folded).otherwise(low)
 
 
 def plain_snippet(text: Column) -> Column:

@@ -32,9 +32,26 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """A scan that uses every core: tables of few file splits are spread by key.
+
+        At cluster scale a table has more splits than cores and is left as it is.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return self.spread("documents", "doc_id")
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        return self.spread("conversations", "conv_id", "turn")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return self.spread("pages", "page_id")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -176,7 +193,7 @@ class Corpus:
             F.col("doc_id").alias("paper_no"), F.col("source").alias("space_id"),
             tx.normalize_ws(F.col("line")).alias("lead"),
         )
-        turns = self.table("conversations").withColumn("paper_no", paper)
+        turns = self.turns.withColumn("paper_no", paper)
         words = F.split("lead", " ")
         own = F.substring(tx.normalize_ws(F.col("text")), 1, 50)
         sources = F.array_distinct(F.array(

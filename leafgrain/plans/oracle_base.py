@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from leafgrain.functions.meta import REFERENCE_LABELS, SECTION_HEADERS, TYPE_TERMS
-from leafgrain.functions.text import ACCENTED, DASHES, STOPWORDS, UNACCENTED
+from leafgrain.functions.text import ACCENTS, DASHES, STOPWORDS
 from leafgrain.plans.corpus import CARD_KINDS, SECTION_NAMES
 from leafgrain.schemas import SECTION_PRIORITY
 
+ACCENTED = "".join(ACCENTS.values())
+UNACCENTED = "".join(base * len(marks) for base, marks in ACCENTS.items())
 SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 WORD = r"[\p{L}\p{N}_]"
 
