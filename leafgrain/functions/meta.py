@@ -175,7 +175,7 @@ def analysis_passage_type(raw_type: Column, section: Column, headings: Column) -
         for name, terms in TYPE_TERMS
     )
     inferred = F.when(
-        F.exists(labels, label_in), F.lit("reference")
+        F.exists(labels, lambda x: label_in(x)), F.lit("reference")
     ).otherwise(F.lit("body"))
     typed = type_from_labels(joined, rows, default="?")
     inferred = F.when(typed != "?", typed).otherwise(inferred)
@@ -210,7 +210,7 @@ def section_passage_type(section: Column) -> Column:
 
 
 def is_reference(raw_type: Column, section: Column, headings: Column) -> Column:
-    return F.exists(F.concat(F.array(raw_type, section), headings), label_in)
+    return F.exists(F.concat(F.array(raw_type, section), headings), lambda x: label_in(x))
 
 
 def priority_of(passage_type: Column) -> Column:
