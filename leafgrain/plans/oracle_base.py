@@ -128,7 +128,7 @@ def is_reference(raw: str, section: str, path: str) -> str:
 
 def priority(kind: str) -> str:
     body = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SECTION_PRIORITY.items())
-    return f"(CASE {kind} {body} ELSE 6 END)"
+    return f"CAST((CASE {kind} {body} ELSE 6 END) AS BIGINT)"
 
 
 def section_score(kind: str) -> str:
@@ -366,7 +366,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def sql(body: str, *needs: str, recursive: bool = False, **extra: str) -> str:
+def sql(body: str, /, *needs: str, recursive: bool = False, **extra: str) -> str:
     """Prepend the named base tables (and their own needs) to a query."""
     ordered: list[str] = []
 
