@@ -104,7 +104,7 @@ def extract_metadata_candidates(c: Corpus):
 
 AI = dict(
     ai="SELECT id AS paper_id, unnest(['title', 'authors', 'year', 'doi', 'arxiv_id', 'venue', 'abstract']) AS field,"
-    " unnest([title, lang || ' A, ' || space_id || ' B', CASE WHEN doc_id % 5 = 0 THEN '' ELSE CAST(1990 + doc_id % 35"
+    " unnest([trim(title), lang || ' A, ' || space_id || ' B', CASE WHEN doc_id % 5 = 0 THEN '' ELSE CAST(1990 + doc_id % 35"
     " AS VARCHAR) END, CASE WHEN doc_id % 2 = 0 THEN '10.5555/a' || doc_id ELSE '' END, '', 'Conf ' || lang, '']) AS"
     " value, CASE WHEN doc_id % 3 = 0 THEN 0.6 ELSE 0.8 END AS confidence FROM (SELECT *, split_part(file_path, '/', 1)"
     " AS lang FROM papers)",
@@ -220,6 +220,7 @@ PAYLOAD = (
     "'{\"heading_path\":' || to_json(hp) || ',\"page_number\":' || page_number || ',\"passage_type\":\"' || kind ||"
     " '\",\"source_id\":\"' || id || '\",\"text\":' || to_json(original_text) || '}'"
 )
+EMPTY = PAYLOAD.replace("to_json(original_text)", "'\"\"'")
 LABELLED = dict(
     lab0=f"SELECT *, {HP} AS hp FROM passages",
     lab=f"SELECT *, {o.is_reference('passage_type', 'section', 'hp')} AS ref, {o.analysis_type('passage_type', 'section', 'hp')}"
@@ -227,10 +228,20 @@ LABELLED = dict(
 )
 BATCH = dict(
     **LABELLED,
-    prep0=f"SELECT *, {PAYLOAD} AS pay, {o.priority('kind')} AS pri FROM lab WHERE NOT ref",
+    pay0=f"SELECT *, {PAYLOAD} AS pay, {o.priority('kind')} AS pri FROM lab WHERE NOT ref",
+    ov=f"SELECT id, string_split(original_text, ' ') AS ws, 1200 - {o.tokens(EMPTY)} AS room FROM pay0 WHERE"
+    f" {o.tokens('pay')} > 1200",
+    cutw="SELECT id, 1 AS i, ws[1] AS word, 1 AS w, length(ws[1]) AS c, 0 AS f FROM ov UNION ALL SELECT id, i, word, CASE WHEN"
+    " fits THEN w + 1 ELSE 1 END, CASE WHEN fits THEN c + 1 + length(word) ELSE length(word) END, CASE WHEN fits THEN f ELSE"
+    " f + 1 END FROM (SELECT r.id, i + 1 AS i, ws[i + 1] AS word, w, c, f, greatest(w + 1, ceil((c + 1 + length(ws[i + 1]))"
+    " / 4.0)) <= room AS fits FROM cutw r JOIN ov ON ov.id = r.id WHERE i < len(ws))",
+    frg="SELECT id, f, string_agg(word, ' ' ORDER BY i) AS txt FROM cutw GROUP BY 1, 2",
+    pay1="SELECT p.* REPLACE (coalesce(txt, original_text) AS original_text), coalesce(f, 0) AS f FROM pay0 p LEFT JOIN frg"
+    " USING (id)",
+    prep0=f"SELECT * REPLACE ({PAYLOAD} AS pay) FROM pay1",
     prep=f"SELECT *, {o.words(o.ws('pay'))} AS w, length({o.ws('pay')}) AS ch FROM prep0",
     firsts="SELECT *, min(paragraph_index) OVER (PARTITION BY paper_id, kind, hp) AS fp FROM prep",
-    ordered="SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pri, fp, kind, hp, paragraph_index) AS n FROM firsts",
+    ordered="SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY pri, fp, kind, hp, paragraph_index, f) AS n FROM firsts",
     fold="SELECT paper_id, n, kind, hp, w, ch, 1 AS g FROM ordered WHERE n = 1 UNION ALL SELECT paper_id, n, kind, hp,"
     " CASE WHEN keep THEN fw + w ELSE w END, CASE WHEN keep THEN fc + 1 + ch ELSE ch END, CASE WHEN keep THEN fg ELSE"
     " fg + 1 END FROM (SELECT x.*, f.w AS fw, f.ch AS fc, f.g AS fg, x.kind = f.kind AND x.hp = f.hp AND greatest(f.w +"
@@ -244,9 +255,11 @@ BATCH = dict(
     " (SELECT b.*, f.w AS fw, f.ch AS fc, f.m AS fm, b.kind = 'body' AND f.kind = 'body' AND greatest(f.w + b.w,"
     " ceil((f.ch + 1 + b.ch) / 4.0)) <= 1200 AS keep FROM mfold f JOIN bat b ON b.paper_id = f.paper_id AND b.g = f.g + 1)",
     fin="SELECT bat.paper_id, m - 1 AS batch_index, any_value(bat.kind) AS passage_type, CASE WHEN count(*) > 1 THEN"
-    " CAST([] AS VARCHAR[]) ELSE any_value(hp) END AS path, flatten(list(ids ORDER BY bat.g)) AS ids, CAST(sum(greatest("
+    " CAST([] AS VARCHAR[]) ELSE any_value(hp) END AS path, any_value(bat.paper_id) AS pp, flatten(list(ids ORDER BY bat.g)) AS ids0, CAST(sum(greatest("
     "bat.w, ceil(bat.ch / 4.0))) AS BIGINT) AS token_count FROM bat JOIN (SELECT paper_id, g, m FROM mfold) USING"
     " (paper_id, g) GROUP BY bat.paper_id, m",
+    fin2="SELECT *, list_filter(ids0, lambda v, i: list_position(ids0, v) = i) AS ids FROM fin",
+    place="SELECT paper_id, n, m - 1 AS batch_index FROM fold JOIN (SELECT paper_id, g, m FROM mfold) USING (paper_id, g)",
 )
 BUDGET = 1200
 
@@ -261,7 +274,7 @@ def batch_parts(c: Corpus):
     o.sql(
         "SELECT paper_id, CAST(batch_index AS BIGINT) AS batch_index, passage_type, CASE WHEN len(path) > 0 THEN"
         " passage_type || ':' || array_to_string(path, ' > ') ELSE passage_type END AS group_key, array_to_string(ids,"
-        " ',') AS sources, token_count FROM fin", "passages", recursive=True, **BATCH,
+        " ',') AS sources, token_count FROM fin2", "passages", recursive=True, **BATCH,
     ),
 )
 def analysis_batches(c: Corpus):
@@ -331,11 +344,11 @@ def metadata_passages(c: Corpus):
     o.sql(
         "SELECT f.paper_id, CAST(f.batch_index AS BIGINT) AS batch_index, 'Context: {\"paper_id\":\"' || f.paper_id ||"
         " '\",\"space_id\":\"' || any_value(space_id) || '\",\"batch_index\":' || f.batch_index ||"
-        " ',\"source_passage_ids\":' || to_json(any_value(ids)) || '}' AS context, string_agg('{\"source_id\":\"' || id ||"
+        " ',\"source_passage_ids\":' || to_json(any_value(f.ids)) || '}' AS context, string_agg('{\"source_id\":\"' || p.id ||"
         " '\",\"page_number\":' || page_number || ',\"section\":' || to_json(section) || ',\"heading_path\":' ||"
-        f" to_json(hp) || ',\"text\":' || to_json({o.truncated('original_text')}) || '}}', chr(10) ORDER BY"
-        " list_position(ids, id)) AS sources FROM fin f JOIN prep p ON p.paper_id = f.paper_id AND list_contains(f.ids,"
-        " p.id) GROUP BY 1, f.batch_index", "passages", recursive=True, **BATCH,
+        f" to_json(hp) || ',\"text\":' || to_json({o.truncated('original_text')}) || '}}', chr(10) ORDER BY p.n) AS sources FROM"
+        " fin2 f JOIN place USING (paper_id, batch_index) JOIN ordered p ON p.paper_id = place.paper_id AND p.n = place.n"
+        " GROUP BY 1, f.batch_index", "passages", recursive=True, **BATCH,
     ),
 )
 def render_prompt_payload(c: Corpus):
