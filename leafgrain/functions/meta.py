@@ -165,22 +165,27 @@ def analysis_heading_path(heading_path: Column, section: Column) -> Column:
     )
 
 
-def analysis_passage_type(raw_type: Column, section: Column, headings: Column) -> Column:
-    """Passage type used for evidence selection; trusts an informative input type."""
-    raw = section_label(raw_type)
-    labels = F.concat(F.array(section), headings)
-    joined = F.array_join(F.transform(labels, section_label), " ")
+def evidence_labels(section: Column, headings: Column) -> Column:
+    """Normalized labels of a section and its headings."""
+    return F.transform(F.concat(F.array(section), headings), lambda x: section_label(x))
+
+
+def type_of_labels(raw_label: Column, labels: Column, joined: Column) -> Column:
+    """Passage type for evidence selection; trusts an informative input type.
+
+    ``labels`` and their ``joined`` text should be stored columns: they are read many
+    times here.
+    """
     rows = tuple(
         (name, terms + ("finding",)) if name == "result" else (name, terms)
         for name, terms in TYPE_TERMS
     )
-    inferred = F.when(
-        F.exists(labels, lambda x: label_in(x)), F.lit("reference")
-    ).otherwise(F.lit("body"))
     typed = type_from_labels(joined, rows, default="?")
-    inferred = F.when(typed != "?", typed).otherwise(inferred)
+    reference = F.when(F.exists(labels, lambda x: x.isin(*REFERENCE_LABELS)), "reference").otherwise("body")
     trusted = [name for name in SECTION_PRIORITY if name != "body"]
-    return F.when(raw.isin(*trusted), raw).otherwise(inferred)
+    return (
+        F.when(raw_label.isin(*trusted), raw_label).when(typed != "?", typed).otherwise(reference)
+    )
 
 
 def guess_section(text: Column) -> Column:
@@ -245,6 +250,14 @@ def source_priority(source: Column) -> Column:
     )
 
 
+def put_many(values: Column, entries: Column) -> Column:
+    """Set several keys of a map from an array of (key, value) structs; null entries are skipped."""
+    kept = F.filter(entries, lambda e: e.isNotNull())
+    keys = F.transform(kept, lambda e: e["key"])
+    rest = F.map_filter(values, lambda k, _: ~F.array_contains(keys, k))
+    return F.map_concat(rest, F.map_from_entries(kept))
+
+
 def put_provenance(values: Column, field: Column, value: Column) -> Column:
     """Set one key of a map, replacing an earlier entry."""
     rest = F.map_filter(values, lambda k, _: k != field)

@@ -39,15 +39,21 @@ def passage_payload(text: Column) -> Column:
 
 
 def with_labels(passages: DataFrame) -> DataFrame:
-    """Passages with the evidence heading path, passage type and reference flag."""
+    """Passages with the evidence heading path, passage type and reference flag.
+
+    Labels are computed once as columns, then read by the type and reference rules.
+    """
     path = meta.analysis_heading_path(F.col("heading_path"), F.col("section"))
-    labelled = passages.withColumns({"heading_path": path, "raw_type": F.col("passage_type")})
-    return labelled.withColumns({
-        "is_reference": meta.is_reference(F.col("raw_type"), F.col("section"), F.col("heading_path")),
-        "passage_type": meta.analysis_passage_type(
-            F.col("raw_type"), F.col("section"), F.col("heading_path")
-        ),
-    })
+    staged = passages.withColumns({"heading_path": path, "_raw": meta.section_label(F.col("passage_type"))})
+    staged = staged.withColumn("_labels", meta.evidence_labels(F.col("section"), F.col("heading_path")))
+    staged = staged.withColumn("_joined", F.array_join("_labels", " "))
+    cited = F.col("_raw").isin(*meta.REFERENCE_LABELS) | F.exists(
+        "_labels", lambda x: x.isin(*meta.REFERENCE_LABELS)
+    )
+    return staged.withColumns({
+        "is_reference": cited,
+        "passage_type": meta.type_of_labels(F.col("_raw"), F.col("_labels"), F.col("_joined")),
+    }).drop("_raw", "_labels", "_joined")
 
 
 def split_to_budget(passages: DataFrame, max_tokens: int) -> DataFrame:

@@ -80,17 +80,20 @@ def apply_paper_edits(papers: DataFrame, edits: DataFrame, by_user: bool = True)
     updates: dict[str, Column] = {f: F.coalesce(f"_{f}", f) for f in known}
     if by_user:
         core = [f for f in CORE_METADATA_FIELDS if f in known]
-        sources, levels = F.col("metadata_sources"), F.col("metadata_confidence")
-        for name in core:
-            edited, key = F.col(f"_{name}").isNotNull(), F.lit(name)
-            sources = F.when(edited, meta.put_provenance(sources, key, F.lit("user.edit"))).otherwise(sources)
-            levels = F.when(edited, meta.put_provenance(levels, key, F.lit(1.0))).otherwise(levels)
+
+        def entries(value) -> Column:
+            return F.array(*[
+                F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n).alias("key"), F.lit(value).alias("value")))
+                for n in core
+            ])
+
         fields = F.filter(
             F.array(*[F.when(F.col(f"_{f}").isNotNull(), F.lit(f)) for f in core]), lambda f: f.isNotNull()
         )
         touched = F.size(fields) > 0
         updates |= {
-            "metadata_sources": sources, "metadata_confidence": levels,
+            "metadata_sources": meta.put_many(F.col("metadata_sources"), entries("user.edit")),
+            "metadata_confidence": meta.put_many(F.col("metadata_confidence"), entries(1.0)),
             "user_edited_fields": F.when(
                 touched, F.array_sort(F.array_union("user_edited_fields", fields))
             ).otherwise(F.col("user_edited_fields")),

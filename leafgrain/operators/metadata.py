@@ -158,8 +158,7 @@ def promote_metadata(papers: DataFrame, candidates: DataFrame) -> DataFrame:
         for name in CORE_METADATA_FIELDS
     ])
     joined = papers.join(wide.withColumnRenamed("paper_id", "id"), "id", "left")
-    sources, levels = F.col("metadata_sources"), F.col("metadata_confidence")
-    promoted, updates = [], {}
+    takes, updates = {}, {}
     for name in CORE_METADATA_FIELDS:
         candidate = F.col(f"_{name}")
         present = F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) != ""
@@ -169,16 +168,24 @@ def promote_metadata(papers: DataFrame, candidates: DataFrame) -> DataFrame:
             candidate.isNotNull() & ~F.array_contains("user_edited_fields", name)
             & (~present | (meta.source_priority(source) < meta.source_priority(candidate["source"])))
         )
+        takes[name] = take
+    marked = joined.withColumns({f"_take_{name}": take for name, take in takes.items()})
+
+    def entries(field: str) -> Column:
+        return F.array(*[
+            F.when(F.col(f"_take_{n}"), F.struct(F.lit(n).alias("key"), F.col(f"_{n}.{field}").alias("value")))
+            for n in CORE_METADATA_FIELDS
+        ])
+
+    for name in CORE_METADATA_FIELDS:
         kind = papers.schema[name].dataType
-        updates[name] = F.when(take, candidate["value"].cast(kind)).otherwise(F.col(name))
-        key = F.lit(name)
-        sources = F.when(take, meta.put_provenance(sources, key, candidate["source"])).otherwise(sources)
-        levels = F.when(take, meta.put_provenance(levels, key, candidate["confidence"])).otherwise(levels)
-        promoted.append(F.when(take, key))
-    staged = joined.select(
+        updates[name] = F.when(F.col(f"_take_{name}"), F.col(f"_{name}.value").cast(kind)).otherwise(F.col(name))
+    promoted = [F.when(F.col(f"_take_{name}"), F.lit(name)) for name in CORE_METADATA_FIELDS]
+    staged = marked.select(
         *[c for c in papers.columns if c not in (*CORE_METADATA_FIELDS, "metadata_sources", "metadata_confidence", "metadata_status")],
         *[value.alias(name) for name, value in updates.items()],
-        sources.alias("metadata_sources"), levels.alias("metadata_confidence"),
+        meta.put_many(F.col("metadata_sources"), entries("source")).alias("metadata_sources"),
+        meta.put_many(F.col("metadata_confidence"), entries("confidence")).alias("metadata_confidence"),
         F.filter(F.array(*promoted), lambda f: f.isNotNull()).alias("promoted"),
     )
     return staged.withColumn(

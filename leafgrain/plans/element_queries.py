@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafgrain.functions import meta
 from leafgrain.functions import text as tx
+from leafgrain.operators import analysis as an
 from leafgrain.operators import layout as ly
 from leafgrain.operators.keyed import work_dir
 from leafgrain.plans import oracle_base as o
@@ -730,12 +731,10 @@ APATH = o.analysis_path("heading_path", "section")
 )
 def classify_passage_type(c: Corpus):
     """The three rules side by side."""
-    section = F.col("section")
-    path = meta.analysis_heading_path(F.col("heading_path"), section)
-    return c.passages.withColumn("_path", path).select(
-        "id", meta.heading_passage_type(F.col("heading_path")).alias("by_heading"),
-        meta.analysis_passage_type(F.col("passage_type"), section, F.col("_path")).alias("by_evidence"),
-        meta.section_passage_type(meta.guess_section(section)).alias("by_header"),
+    rows = an.with_labels(c.passages.withColumn("_by_heading", meta.heading_passage_type(F.col("heading_path"))))
+    return rows.select(
+        "id", F.col("_by_heading").alias("by_heading"), F.col("passage_type").alias("by_evidence"),
+        meta.section_passage_type(meta.guess_section(F.col("section"))).alias("by_header"),
     )
 
 
@@ -747,9 +746,7 @@ def classify_passage_type(c: Corpus):
     ),
 )
 def section_priority(c: Corpus):
-    path = meta.analysis_heading_path(F.col("heading_path"), F.col("section"))
-    kind = meta.analysis_passage_type(F.col("passage_type"), F.col("section"), F.col("_path"))
-    return c.passages.withColumn("_path", path).select("id", meta.priority_of(kind).alias("priority"))
+    return an.with_labels(c.passages).select("id", meta.priority_of(F.col("passage_type")).alias("priority"))
 
 
 @query(
