@@ -27,11 +27,6 @@ KEYS = ["paper_id", "space_id"]
 POSITION = ("page_number", "paragraph_index", "id")
 
 
-def payload_size(text: Column) -> tuple[Column, Column]:
-    normalized = tx.normalize_ws(text)
-    return tx.word_count(normalized), F.length(normalized)
-
-
 def passage_payload(text: Column) -> Column:
     return tx.canonical_json(F.struct(
         "heading_path", "page_number", "passage_type", F.col("id").alias("source_id"), text.alias("text")
@@ -61,12 +56,17 @@ def split_to_budget(passages: DataFrame, max_tokens: int) -> DataFrame:
 
     The budget counts the passage's JSON payload. Only over-budget texts are cut.
     """
-    words, chars = payload_size(passage_payload(F.col("text")))
-    empty_words, empty_chars = payload_size(passage_payload(F.lit("")))
-    sized = passages.withColumn("text", tx.strip(F.col("original_text"))).filter("text <> ''").withColumns({
-        "_over": tx.tokens_of(words, chars) > max_tokens,
-        "_room": F.greatest(F.lit(1), F.lit(max_tokens) - tx.tokens_of(empty_words, empty_chars)),
+    # Normalized payloads are columns of their own, so that each is built once.
+    sized = passages.withColumn("text", tx.strip(F.col("original_text"))).filter("text <> ''")
+    sized = sized.withColumns({
+        "_pay": tx.normalize_ws(passage_payload(F.col("text"))),
+        "_none": tx.normalize_ws(passage_payload(F.lit(""))),
     })
+    size = tx.tokens_of(tx.word_count(F.col("_pay")), F.length("_pay"))
+    empty = tx.tokens_of(tx.word_count(F.col("_none")), F.length("_none"))
+    sized = sized.withColumns({
+        "_over": size > max_tokens, "_room": F.greatest(F.lit(1), F.lit(max_tokens) - empty),
+    }).drop("_pay", "_none")
     cut = sized.withColumn(
         "_pieces", text_pieces_within(F.when(F.col("_over"), F.col("text")), F.col("_room"))
     )
@@ -86,10 +86,11 @@ def prepared_passages(
     if not include_references:
         labelled = labelled.filter(~F.col("is_reference"))
     fragments = split_to_budget(labelled, max_tokens)
-    words, chars = payload_size(passage_payload(F.col("text")))
-    return fragments.withColumns({
-        "priority": meta.priority_of(F.col("passage_type")), "words": words, "chars": chars,
-    })
+    sized = fragments.withColumn("_pay", tx.normalize_ws(passage_payload(F.col("text"))))
+    return sized.withColumns({
+        "priority": meta.priority_of(F.col("passage_type")), "words": tx.word_count(F.col("_pay")),
+        "chars": F.length("_pay"),
+    }).drop("_pay")
 
 
 def _starts(rows: Column, same_group, limit: int) -> Column:

@@ -205,6 +205,12 @@ def norm_repeated(text: Column) -> Column:
     return F.lower(tx.normalize_ws(text))
 
 
+def repeated_key(text: Column) -> Column:
+    """Digest of the comparison form, null when blank: long blocks meet by 64 characters."""
+    norm = norm_repeated(text)
+    return F.when(norm != "", F.sha2(norm, 256))
+
+
 def clean_markdown(block: Column) -> Column:
     stripped = tx.strip(block)
     heading = F.regexp_extract(stripped, HEADING_PATTERN, 2)
@@ -216,16 +222,16 @@ def text_chrome(pages: DataFrame) -> DataFrame:
 
     ``pages``: paper_id, page_number, text. The first and last block or line of a
     page is furniture when it opens (closes) at least two pages of the paper.
-    Each page contributes at most four short strings; the page text itself is
-    never shuffled by its content.
+    Each page contributes at most four digests; texts are never compared or shuffled
+    by content.
     """
     split = F.filter(F.split("text", r"\n[^\S\n]*(?:\n[^\S\n]*)+"), lambda b: tx.strip(b) != "")
     paged = pages.select("paper_id", "page_number", split.alias("blocks")).filter(F.size("blocks") > 0)
     first, last = F.element_at("blocks", 1), F.element_at("blocks", -1)
-    head_line = F.element_at(tx.lines(first), 1)
-    tail_line = F.element_at(tx.lines(last), -1)
+    head_line = F.substring_index(first, "\n", 1)
+    tail_line = F.substring_index(last, "\n", -1)
     norm = {
-        name: norm_repeated(clean_markdown(value))
+        name: repeated_key(clean_markdown(value))
         for name, value in {"hb": first, "hl": head_line, "fb": last, "fl": tail_line}.items()
     }
     keyed = paged.withColumns(norm)
@@ -236,7 +242,7 @@ def text_chrome(pages: DataFrame) -> DataFrame:
     repeated = (
         keyed.select("paper_id", "page_number", F.inline(roles))
         .select("paper_id", "page_number", "role", F.explode("texts").alias("norm"))
-        .filter("norm <> ''")
+        .filter("norm is not null")
     )
     common = repeated.groupBy("paper_id", "role", "norm").agg(
         F.count(F.lit(1)).alias("n")
@@ -253,37 +259,36 @@ def text_chrome(pages: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     headers, footers = F.coalesce("headers", none), F.coalesce("footers", none)
 
-    head_lines = tx.lines(first)
+    # A repeated first or last line of a longer block becomes a block of its own.
+    rest = F.substr(first, F.length(head_line) + 2)
     opened = F.when(
-        (F.size(head_lines) > 1) & F.array_contains(headers, norm_repeated(F.element_at(head_lines, 1))),
-        F.concat(
-            F.array(F.element_at(head_lines, 1), F.array_join(F.slice(head_lines, F.lit(2), F.size(head_lines)), "\n")),
-            F.slice("blocks", F.lit(2), F.size("blocks")),
-        ),
+        first.contains("\n") & F.array_contains(headers, F.col("hl")),
+        F.concat(F.array(head_line, rest), F.slice("blocks", F.lit(2), F.size("blocks"))),
     ).otherwise(F.col("blocks"))
     step = marked.select(
-        "paper_id", "page_number", headers.alias("headers"), footers.alias("footers"),
+        "paper_id", "page_number", headers.alias("headers"), footers.alias("footers"), "fl",
         opened.alias("blocks"),
     )
-    tail_lines = tx.lines(F.element_at("blocks", -1))
+    tail = F.substring_index(F.element_at("blocks", -1), "\n", -1)
+    body = F.left(F.element_at("blocks", -1), F.length(F.element_at("blocks", -1)) - F.length(tail) - 1)
     closed = F.when(
-        (F.size(tail_lines) > 1)
-        & F.array_contains(F.col("footers"), norm_repeated(F.element_at(tail_lines, -1))),
-        F.concat(
-            F.slice("blocks", F.lit(1), F.size("blocks") - 1),
-            F.array(F.array_join(F.slice(tail_lines, F.lit(1), F.size(tail_lines) - 1), "\n"), F.element_at(tail_lines, -1)),
-        ),
+        F.element_at("blocks", -1).contains("\n") & F.array_contains("footers", F.col("fl")),
+        F.concat(F.slice("blocks", F.lit(1), F.size("blocks") - 1), F.array(body, tail)),
     ).otherwise(F.col("blocks"))
-    shown = F.filter(closed, lambda b: tx.strip(b) != "")
-    rows = step.select(
-        "paper_id", "page_number", "headers", "footers", F.size(shown).alias("n"),
-        F.posexplode(shown).alias("block_index", "block"),
-    )
-    text = clean_markdown(F.col("block"))
-    key = norm_repeated(text)
+    shown = step.select(
+        "paper_id", "page_number", "headers", "footers",
+        F.filter(closed, lambda b: tx.strip(b) != "").alias("blocks"),
+    )
+    rows = shown.select(
+        "paper_id", "page_number", "headers", "footers", F.size("blocks").alias("n"),
+        F.posexplode("blocks").alias("block_index", "block"),
+    ).withColumn("text", clean_markdown(F.col("block")))
+    text, key = F.col("text"), repeated_key(F.col("text"))
+    top = (F.col("block_index") == 0) & (F.size("headers") > 0)
+    bottom = (F.col("block_index") == F.col("n") - 1) & (F.size("footers") > 0)
     kind = (
-        F.when((F.col("block_index") == 0) & F.array_contains("headers", key), "page_header")
-        .when((F.col("block_index") == F.col("n") - 1) & F.array_contains("footers", key), "page_footer")
+        F.when(top & F.array_contains("headers", key), "page_header")
+        .when(bottom & F.array_contains("footers", key), "page_footer")
         .otherwise(markdown_type(F.col("block")))
     )
     return rows.select(
@@ -295,7 +300,7 @@ def markdown_type(block: Column) -> Column:
     stripped = tx.strip(block)
     return (
         F.when(stripped.rlike(HEADING_PATTERN) & ~stripped.contains("\n"), "heading")
-        .when(F.size(table_rows(block)) > 0, "table")
+        .when(block.contains("|") & (F.size(table_rows(block)) > 0), "table")
         .otherwise("paragraph")
     )
 
@@ -403,8 +408,8 @@ def two_column_pages(words: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``words``: x0, x1, page_width; ``blocks``: bbox, page_width. A left and a
     right block must share 20 points of height. Because only the existence of
-    such a pair matters, each page keeps its blocks as merged height intervals:
-    overlap is tested between pages' arrays, not over all pairs of rows.
+    such a pair matters, the few blocks of a page are tested inside its row, up to
+    the first hit; pairs never become rows.
     """
     keys = ["paper_id", "page_number"]
     middle, gap = F.col("page_width") / 2, F.col("page_width") * 0.025

@@ -27,16 +27,16 @@ QUERY_BLOCK = 256
 def build_postings(passages: DataFrame) -> DataFrame:
     """Inverted index: one row per (term, passage) with counts and passage length.
 
-    The term counts of one passage are made inside its row, so nothing is
-    shuffled to build the index. Indexed text is section plus body.
+    Passages are spread by id before they are broken into terms, so the counting
+    needs no shuffle of the (far larger) terms; passages stored by id need none at
+    all. Indexed text is section plus body.
     """
     terms = tx.word_tokens(tx.fold_term(F.concat_ws(" ", "section", "original_text")))
     return (
-        passages.select(
-            "id", "paper_id", "space_id", terms.alias("_terms"), F.size(terms).alias("length")
-        )
+        passages.select("id", "paper_id", "space_id", "section", "original_text").repartition("id")
+        .select("id", "paper_id", "space_id", terms.alias("_terms"))
         .select(
-            F.col("id").alias("passage_id"), "paper_id", "space_id", "length",
+            F.col("id").alias("passage_id"), "paper_id", "space_id", F.size("_terms").alias("length"),
             F.explode("_terms").alias("term"),
         )
         .groupBy("term", "passage_id", "paper_id", "space_id", "length")
@@ -50,8 +50,8 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 def corpus_stats(passages: DataFrame) -> DataFrame:
     """Passage count and mean length over the whole index (one row)."""
-    terms = tx.word_tokens(F.concat_ws(" ", "section", "original_text"))
-    return passages.select(F.size(terms).alias("n")).agg(
+    words = F.regexp_count(F.concat_ws(" ", "section", "original_text"), F.lit(f"{tx.WORD_CLASS}+"))
+    return passages.select(words.alias("n")).agg(
         F.count_if(F.col("n") > 0).alias("passages"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean_length")
     )
 
@@ -85,15 +85,11 @@ def fts_rank(
     # The filter moves below an index aggregation, so only query terms are ever counted.
     postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     scored_terms = terms.join(term_stats(postings), "term")
-    # One row of corpus totals, carried as a constant join key.
-    scored_terms = scored_terms.withColumn("_one", F.lit(1)).join(
-        corpus.withColumn("_one", F.lit(1)), "_one"
-    )
-    idf = F.greatest(
-        F.log((F.col("passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR)
-    )
+    # One row of corpus totals, read as scalar subqueries.
+    total, mean = corpus.select("passages").scalar(), corpus.select("mean_length").scalar()
+    idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weighted = scored_terms.select(
-        "query_id", "space_id", "n_terms", "term", "mean_length",
+        "query_id", "space_id", "n_terms", "term", mean.alias("mean_length"),
         (idf * F.col("weight")).alias("idf"),
     )
     tf = F.col("tf")

@@ -19,6 +19,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The rule adds "size(array) > 0" below every explode; for computed arrays (tokens,
+    # packed groups) that evaluates the whole array expression a second time.
+    "spark.sql.optimizer.excludedRules":
+        "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
