@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace and word classes (Unicode-aware in Java regex).
-SPACE_CLASS = r"[\s\x1C-\x1F]"
+# Whitespace characters beside the plain space, and word characters.
+OTHER_SPACE = (
+    r"\t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+)
+SPACE_CLASS = f"[ {OTHER_SPACE}]"
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
 # Accents folded to their base letter by the full-text tokenizer.
@@ -33,13 +36,16 @@ PAYLOAD_CHARS = 3000
 
 
 def normalize_ws(text: Column) -> Column:
-    """Collapse every whitespace run to one space and trim."""
-    return F.trim(F.regexp_replace(text, f"(?U){SPACE_CLASS}+", " "))
+    """Collapse every whitespace run to one space and trim.
+
+    Single plain spaces, nearly all runs of a text, do not match and cost nothing.
+    """
+    return F.trim(F.regexp_replace(text, f"[{OTHER_SPACE}]{SPACE_CLASS}*| {SPACE_CLASS}+", " "))
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, f"(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
 
 
 def lines(text: Column) -> Column:

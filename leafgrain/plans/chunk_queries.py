@@ -12,9 +12,12 @@ from leafgrain.operators.keyed import number_rows
 from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import Corpus
 from leafgrain.plans.element_queries import FLAT
-from leafgrain.plans.registry import query
+from leafgrain.plans.registry import query, setup
 
-NO_BOX = F.lit(None).cast("array<double>")
+@setup
+def columns() -> None:
+    global NO_BOX
+    NO_BOX = F.lit(None).cast("array<double>")
 
 
 def headed(c: Corpus):

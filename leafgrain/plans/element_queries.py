@@ -11,12 +11,15 @@ from leafgrain.operators import layout as ly
 from leafgrain.operators.keyed import work_dir
 from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import Corpus
-from leafgrain.plans.registry import query
+from leafgrain.plans.registry import query, setup
 from leafgrain.sources import markup as mk
 from leafgrain.sources import tables as tb
 
-d, p = F.col("doc_id"), F.col("pos")
-NONE = F.array().cast("array<string>")
+@setup
+def columns() -> None:
+    global d, p, NONE
+    d, p = F.col("doc_id"), F.col("pos")
+    NONE = F.array().cast("array<string>")
 
 
 # ---------------------------------------------------------------- tables

@@ -8,9 +8,12 @@ from leafgrain.functions import meta, numeric
 from leafgrain.functions import text as tx
 from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import Corpus
-from leafgrain.plans.registry import query, stamp
+from leafgrain.plans.registry import query, setup, stamp
 
-d, text = F.col("doc_id"), F.col("text")
+@setup
+def columns() -> None:
+    global d, text
+    d, text = F.col("doc_id"), F.col("text")
 
 
 @query("normalize_ws", f"SELECT doc_id, {o.ws('text')} AS value FROM documents")

@@ -11,11 +11,14 @@ from leafgrain.operators import metadata as md
 from leafgrain.operators.layout import promote_title
 from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import Corpus
-from leafgrain.plans.registry import query, stamp
-
-NONE = F.array().cast("array<string>")
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
-number = F.split("paper_id", "-")[1].cast("long")
+from leafgrain.plans.registry import query, setup, stamp
+
+@setup
+def columns() -> None:
+    global NONE, NOW, number
+    NONE = F.array().cast("array<string>")
+    NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    number = F.split("paper_id", "-")[1].cast("long")
 
 # ---------------------------------------------------------------- metadata
 

@@ -44,12 +44,23 @@ def widen(df: DataFrame) -> DataFrame:
     ])
 
 
+SETUP: list[Callable[[], None]] = []
+
+
+def setup(fn: Callable[[], None]) -> Callable[[], None]:
+    """Register a function that makes a module's shared columns (they need a session)."""
+    SETUP.append(fn)
+    return fn
+
+
 def query(name: str, oracle: str | None = None):
     """Register a function of the corpus, with its SQL twin when SQL can say it."""
 
     def register(fn: Callable[[Corpus], DataFrame]):
         def run(spark: SparkSession, root: str) -> DataFrame:
             configure(spark)
+            for make_columns in SETUP:
+                make_columns()
             return widen(fn(Corpus(spark, root)))
 
         QUERIES[name] = run

@@ -13,12 +13,15 @@ from leafgrain.plans import oracle_base as o
 from leafgrain.plans.chunk_queries import CHUNKS, chunks, headed, tables_of
 from leafgrain.plans.corpus import Corpus
 from leafgrain.plans.knowledge_queries import JUDGED, SIM, TOKENS, batch_parts
-from leafgrain.plans.registry import query, stamp
-
-NONE = F.array().cast("array<string>")
-NOW = F.lit("2024-01-20 12:00:00").cast("timestamp")
-d = F.col("doc_id")
-number = F.split("paper_id", "-")[1].cast("long")
+from leafgrain.plans.registry import query, setup, stamp
+
+@setup
+def columns() -> None:
+    global NONE, NOW, d, number
+    NONE = F.array().cast("array<string>")
+    NOW = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    d = F.col("doc_id")
+    number = F.split("paper_id", "-")[1].cast("long")
 
 # ---------------------------------------------------------------- listings and edits
 

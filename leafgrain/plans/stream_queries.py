@@ -11,11 +11,14 @@ from leafgrain.plans import oracle_base as o
 from leafgrain.plans.chunk_queries import CHUNK_COLUMNS, CHUNKS, chunks
 from leafgrain.plans.corpus import MODEL, PROVIDER, Corpus
 from leafgrain.plans.element_queries import REGISTERED, files_of, known_papers
-from leafgrain.plans.registry import query
+from leafgrain.plans.registry import query, setup
 from leafgrain.plans.search_queries import HASHED, stored_vectors
 from leafgrain.streaming import streams as st
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+@setup
+def columns() -> None:
+    global NOW
+    NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 class BatchCorpus(Corpus):
