@@ -56,6 +56,26 @@ def first_identifier(texts: DataFrame, field: str) -> DataFrame:
     return best.select(*_candidate(field, F.col("value"), source, 0.98, named))
 
 
+def first_identifiers(texts: DataFrame) -> DataFrame:
+    """First DOI and first arXiv id of each paper, in one pass over the texts."""
+    found = texts.select(
+        "paper_id", "kind", "source_id", "position", meta.first_doi(F.col("text")).alias("doi"),
+        meta.first_arxiv(F.col("text")).alias("arxiv_id"),
+    ).filter("doi <> '' or arxiv_id <> ''")
+    named = F.when(F.col("kind") == "passage", F.col("source_id")).otherwise("")
+
+    def first(field: str, source: str) -> Column:
+        hit = F.when(F.col(field) != "", F.col("position"))
+        row = F.struct(
+            F.lit(field).alias("field"), F.col(field).alias("value"), F.lit(source).alias("source"),
+            F.lit(0.98).alias("confidence"), named.alias("source_id"),
+        )
+        return F.min_by(row, hit).alias(f"_{field}")
+
+    best = found.groupBy("paper_id").agg(first("doi", "regex.doi"), first("arxiv_id", "regex.arxiv"))
+    return best.select("paper_id", F.inline(F.array_compact(F.array("_doi", "_arxiv_id"))))
+
+
 def first_title(elements: DataFrame) -> DataFrame:
     """First title element of each paper; the first two page numbers are preferred."""
     page = F.coalesce("page_number", F.lit(0))
@@ -95,8 +115,8 @@ def extract_metadata_candidates(
     """Deterministic candidates of all papers."""
     texts = source_texts(passages, elements)
     parts = [
-        first_title(elements), first_identifier(texts, "doi"), first_identifier(texts, "arxiv_id"),
-        first_abstract(passages), filename_candidates(papers),
+        first_title(elements), first_identifiers(texts), first_abstract(passages),
+        filename_candidates(papers),
     ]
     return reduce(DataFrame.unionByName, parts)
 

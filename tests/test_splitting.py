@@ -69,7 +69,7 @@ def test_split_words(text, budget):
 
 def test_table_rows_repeat_header_and_lose_nothing():
     cells = [["System", "Recall", "Precision"], *[[f"model {i}", f"0.{i}", f"0.{i + 1}"] for i in range(3)]]
-    pieces = sp.split_table("Scores", cells, 1, 24)
+    pieces = sp.split_table("Scores", cells, 1, 14)
     assert len(pieces) > 1
     assert all("System | Recall | Precision" in p["text"] for p in pieces)
     joined = "\n".join(p["text"] for p in pieces)
