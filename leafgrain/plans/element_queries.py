@@ -534,6 +534,44 @@ def heading_path_stack(c: Corpus):
     )
 
 
+@query(
+    "heading_path_deeper",
+    o.sql(
+        "SELECT i.doc_id AS paper_id, i.element_index, coalesce(array_to_string(CASE WHEN element_type ="
+        " 'heading' THEN f.before ELSE f.after END, ' > '), '') AS path FROM items i ASOF LEFT JOIN fold f"
+        " ON f.doc_id = i.doc_id AND f.element_index <= i.element_index", "lines", recursive=True,
+        **{**STACK, "hs": STACK["hs"].replace("greatest(coalesce(level, 1), 1)", "level"), "fold": STACK["fold"].replace(
+            "list_slice(fold.after, 1, hs.level - 1)",
+            "list_slice(fold.after, 1, greatest(coalesce(hs.level, len(fold.after) + 1), 1) - 1)",
+        )},
+    ),
+)
+def heading_path_deeper(c: Corpus):
+    """The variant in which a heading without level goes one deeper."""
+    elements = ly.layout_items_to_elements(layout_items(c))
+    return ly.heading_path_stack(elements, "deeper").select(
+        "paper_id", "element_index", F.array_join("heading_path", " > ").alias("path")
+    )
+
+
+RAW_TYPES = ("title", "Text", "paragraph", "table", "image", "figure", "equation", "formula", "aside")
+
+
+@query(
+    "content_list_types",
+    o.sql(
+        "SELECT doc_id, pos, CASE WHEN pos % 6 = 5 THEN CASE WHEN pos % 4 <= 1 AND pos % 7 > 2 THEN 'title' ELSE 'heading' END"
+        " ELSE CASE (doc_id + pos) % 9 WHEN 0 THEN 'title' WHEN 3 THEN 'table' WHEN 4 THEN 'figure' WHEN 5 THEN 'figure' WHEN"
+        " 6 THEN 'equation' WHEN 7 THEN 'equation' ELSE 'paragraph' END END AS element_type FROM lines", "lines",
+    ),
+)
+def content_list_types(c: Corpus):
+    """Types of flat content-list items; every sixth carries a text level."""
+    raw = F.get(F.array(*[F.lit(x) for x in RAW_TYPES]), ((d + p) % 9).cast("int"))
+    kind = ly.content_type(raw, F.when(p % 6 == 5, p % 4), p % 7 <= 2)
+    return c.lines.select("doc_id", "pos", kind.alias("element_type"))
+
+
 FLAT = (
     "SELECT *, CASE WHEN element_type IN ('heading', 'title') OR h IS NULL THEN CAST([] AS VARCHAR[])"
     " ELSE [h] END AS heading_path FROM (SELECT *, last_value(CASE WHEN element_type = 'heading' THEN text"

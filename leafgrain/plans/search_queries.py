@@ -186,6 +186,67 @@ def reciprocal_rank_fusion(c: Corpus):
     )
 
 
+@query(
+    "rank_hits",
+    o.sql(
+        "SELECT 'fts' AS list, query_id, passage_id, fts_rank AS rank FROM ranked WHERE fts_rank <= 30 UNION ALL SELECT"
+        " 'semantic', query_id, passage_id, semantic_rank FROM vrank WHERE semantic_rank <= 30",
+        "passages", "q", "qv", "emb", **SCORED, **VECTORS,
+    ),
+)
+def rank_hits(c: Corpus):
+    postings, stats = search_parts(c)
+    fts = rt.fts_rank(c.queries, postings, stats, 30)
+    semantic = rt.vector_rank(c.query_vectors, c.embeddings, c.passages, 30)
+    return fts.select(F.lit("fts").alias("list"), "query_id", "passage_id", F.col("fts_rank").alias("rank")).unionByName(
+        semantic.select(
+            F.lit("semantic").alias("list"), "query_id", "passage_id", F.col("semantic_rank").alias("rank")
+        )
+    )
+
+
+@query(
+    "rrf_join",
+    o.sql(
+        "SELECT coalesce(f.query_id, s.query_id) AS query_id, coalesce(f.passage_id, s.passage_id) AS passage_id,"
+        " coalesce(fts_rank, -1) AS fts_rank, coalesce(semantic_rank, -1) AS semantic_rank, coalesce(nullif(p1.section,"
+        " ''), p2.section, '') AS section FROM (SELECT * FROM ranked WHERE fts_rank <= 30) f FULL JOIN (SELECT * FROM vrank"
+        " WHERE semantic_rank <= 30) s ON f.query_id = s.query_id AND f.passage_id = s.passage_id LEFT JOIN passages p1 ON"
+        " p1.id = f.passage_id LEFT JOIN passages p2 ON p2.id = s.passage_id",
+        "passages", "q", "qv", "emb", **SCORED, **VECTORS,
+    ),
+)
+def rrf_join(c: Corpus):
+    postings, stats = search_parts(c)
+    sections = c.passages.select(F.col("id").alias("passage_id"), "section")
+    fts = rt.fts_rank(c.queries, postings, stats, 30).join(sections, "passage_id")
+    semantic = rt.vector_rank(c.query_vectors, c.embeddings, c.passages, 30).join(sections, "passage_id")
+    return rt.rrf_join(fts, semantic, ["section"]).select(
+        "query_id", "passage_id", F.coalesce("fts_rank", F.lit(-1)).alias("fts_rank"),
+        F.coalesce("semantic_rank", F.lit(-1)).alias("semantic_rank"),
+        F.coalesce("section", F.lit("")).alias("section"),
+    )
+
+
+@query(
+    "enrich_passages",
+    o.sql(
+        "SELECT k.id AS card_id, passage_id, coalesce(p.parse_run_id, '') AS parse_run_id, coalesce(p.parser_backend, '') AS"
+        " parser_backend, coalesce(array_to_string(p.heading_path, ' > '), '') AS headings FROM (SELECT id, space_id,"
+        " unnest(source_passage_ids) AS passage_id FROM cards) k LEFT JOIN passages p ON p.id = k.passage_id AND p.space_id ="
+        " k.space_id", "cards", "passages",
+    ),
+)
+def enrich_passages(c: Corpus):
+    """Every citation of every card; ids that are no passage keep empty provenance."""
+    cited = c.cards.select(F.col("id").alias("card_id"), "space_id", F.explode("source_passage_ids").alias("passage_id"))
+    return rt.enrich_passages(cited, c.passages).select(
+        "card_id", "passage_id", F.coalesce("parse_run_id", F.lit("")).alias("parse_run_id"),
+        F.coalesce("parser_backend", F.lit("")).alias("parser_backend"),
+        F.coalesce(F.array_join("heading_path", " > "), F.lit("")).alias("headings"),
+    )
+
+
 HYBRID = dict(
     **SCORED, **VECTORS,
     has="SELECT DISTINCT space_id FROM emb JOIN passages p ON p.id = emb.passage_id",
