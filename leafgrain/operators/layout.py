@@ -214,7 +214,8 @@ def repeated_key(text: Column) -> Column:
 def clean_markdown(block: Column) -> Column:
     stripped = tx.strip(block)
     heading = F.regexp_extract(stripped, HEADING_PATTERN, 2)
-    return F.when((heading != "") & ~stripped.contains("\n"), tx.strip(heading)).otherwise(stripped)
+    is_heading = stripped.startswith("#") & ~stripped.contains("\n") & (heading != "")
+    return F.when(is_heading, tx.strip(heading)).otherwise(stripped)
 
 
 def text_chrome(pages: DataFrame) -> DataFrame:
@@ -230,11 +231,14 @@ def text_chrome(pages: DataFrame) -> DataFrame:
     first, last = F.element_at("blocks", 1), F.element_at("blocks", -1)
     head_line = F.substring_index(first, "\n", 1)
     tail_line = F.substring_index(last, "\n", -1)
-    norm = {
-        name: repeated_key(clean_markdown(value))
-        for name, value in {"hb": first, "hl": head_line, "fb": last, "fl": tail_line}.items()
-    }
-    keyed = paged.withColumns(norm)
+    keyed = paged.withColumns({
+        "hb": repeated_key(clean_markdown(first)), "hl": repeated_key(clean_markdown(head_line)),
+        "fl": repeated_key(clean_markdown(tail_line)),
+    })
+    alone = F.size("blocks") == 1
+    keyed = keyed.withColumn(
+        "fb", F.when(alone, F.col("hb")).otherwise(repeated_key(clean_markdown(last)))
+    )
     roles = F.array(
         F.struct(F.lit("header").alias("role"), F.array_distinct(F.array("hb", "hl")).alias("texts")),
         F.struct(F.lit("footer").alias("role"), F.array_distinct(F.array("fb", "fl")).alias("texts")),
@@ -299,7 +303,7 @@ def text_chrome(pages: DataFrame) -> DataFrame:
 def markdown_type(block: Column) -> Column:
     stripped = tx.strip(block)
     return (
-        F.when(stripped.rlike(HEADING_PATTERN) & ~stripped.contains("\n"), "heading")
+        F.when(stripped.startswith("#") & ~stripped.contains("\n") & stripped.rlike(HEADING_PATTERN), "heading")
         .when(block.contains("|") & (F.size(table_rows(block)) > 0), "table")
         .otherwise("paragraph")
     )

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM never compiles methods over 8000 bytes; longer fused stages would be interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # The rule adds "size(array) > 0" below every explode; for computed arrays (tokens,
     # packed groups) that evaluates the whole array expression a second time.
     "spark.sql.optimizer.excludedRules":
