@@ -207,8 +207,7 @@ def norm_repeated(text: Column) -> Column:
 
 def repeated_key(text: Column) -> Column:
     """Digest of the comparison form, null when blank: long blocks meet by 64 characters."""
-    norm = norm_repeated(text)
-    return F.when(norm != "", F.sha2(norm, 256))
+    return F.sha2(F.nullif(norm_repeated(text), F.lit("")), 256)
 
 
 def clean_markdown(block: Column) -> Column:
@@ -227,7 +226,9 @@ def text_chrome(pages: DataFrame) -> DataFrame:
     by content.
     """
     split = F.filter(F.split("text", r"\n[^\S\n]*(?:\n[^\S\n]*)+"), lambda b: tx.strip(b) != "")
-    paged = pages.select("paper_id", "page_number", split.alias("blocks")).filter(F.size("blocks") > 0)
+    # Exploding a one-element array makes the split a stored column, computed once a row.
+    paged = pages.select("paper_id", "page_number", F.explode(F.array(split)).alias("blocks"))
+    paged = paged.filter(F.size("blocks") > 0)
     first, last = F.element_at("blocks", 1), F.element_at("blocks", -1)
     head_line = F.substring_index(first, "\n", 1)
     tail_line = F.substring_index(last, "\n", -1)
