@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgrain.llm import byte_bpe, packing, token_files
+from leafgrain.llm import byte_bpe, language, packing, quality, token_files, toxicity
 from leafgrain.llm.common import fresh_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,21 +22,39 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_language(docs, language.learn_dictionaries(docs))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
     return token_files.read_token_files(spark, folder)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
