@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgrain.llm import byte_bpe, language, packing, quality, token_files, toxicity
+from leafgrain.llm import byte_bpe, language, near_dup, packing, quality, token_files, toxicity
 from leafgrain.llm.common import fresh_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Shape(words=2, percent=80))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_near_dup": op7_near_dup,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
