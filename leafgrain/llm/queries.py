@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgrain.llm import byte_bpe, language, near_dup, packing, quality, token_files, toxicity
+from leafgrain.llm import byte_bpe, language, near_dup, near_vectors, packing, quality, token_files, toxicity
 from leafgrain.llm.common import fresh_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Shape(words=2, percent=80))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_near_dup": op7_near_dup,
+    "op9_near_vectors": op9_near_vectors,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
