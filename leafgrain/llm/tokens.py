@@ -8,9 +8,11 @@ import re
 from array import array
 from functools import lru_cache
 
+import regex
+
 #: Fixed value: the characters of Unicode White_Space, which the vocabularies' own patterns call \s.
 SPACES = "\t-\r \x85\xa0  -     　"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 LONG_WORD = 256
 #: Texts above this many characters are encoded in blocks.
 BLOCK_CHARS = 1 << 20
@@ -33,13 +35,20 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte-level files write byte b as a printable letter: itself where that prints, else the next free one from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return dict(zip(hidden, range(256, 256 + len(hidden))))
+
+
 class WordEncoder:
     """ids of a ``tokenizers`` file as little-endian unsigned 32-bit bytes.
 
     Byte-level files without a normalizer, and files whose splitter drops white space, never merge across a chunk
-    (white space and the word after it, or the word alone). Each distinct chunk is encoded once by the library, many
-    joined by a separator whose id no chunk can produce, and then taken from a cache of bounded size. Other files are
-    encoded text by text.
+    (white space and the word after it, or the word alone), nor across a match of their pattern inside it. Each
+    distinct chunk goes once through the file's normalizer, pattern and BPE model; its ids then come from a cache of
+    bounded size, of which the half that was not used lately is dropped. Other files are encoded text by text.
     """
 
     def __init__(self, path: str):
@@ -47,66 +56,60 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.separator, self.chunks = "", None
         split = spec.get("pre_tokenizer") or {}
-        steps = split.get("pretokenizers", [split])
-        if steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not spec.get("normalizer"):
-            self.separator = "\n"
+        first = split.get("pretokenizers", [split])[0]
+        self.chunks = None
+        if first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not spec.get("normalizer"):
             self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-        elif steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and r"[^\s" in str(steps[0].get("pattern")):
-            self.separator = " \x00 "
+            # Fixed value: the pattern of byte-level files, for a chunk with a letter, digit or sign.
+            self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACES + r"\p{L}\p{N}]+|[" + SPACES + "]+")
+        elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
             self.chunks = re.compile(f"[^{SPACES}]+")
-        if self.chunks:
-            found = self._ids(self.separator)
-            self.mark = found[0] if len(found) == 1 else None
-            self.chunks = self.chunks if self.mark is not None else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: set[str]) -> None:
-        import numpy as np
-
-        bad = self.separator.strip(" ")
-        joined = [w for w in words if bad not in w and w.strip(" ") and len(w) <= LONG_WORD]
-        for at in range(0, len(joined), 2000):
-            some = joined[at:at + 2000]
-            ids = np.array(self._ids(self.separator.join(some)), "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) != len(some):  # a chunk gave the mark itself
-                self.cache.update((w, array("I", self._ids(w)).tobytes()) for w in some)
-                continue
-            data, start = ids.tobytes(), 0
-            for w, end in zip(some, (ends * 4).tolist()):
-                self.cache[w] = data[start:end]
-                start = end + 4
-        for w in words.difference(joined):
-            if len(w) <= LONG_WORD:
-                self.cache[w] = array("I", self._ids(w)).tobytes()
+            self.pieces = regex.compile(first["pattern"]["Regex"].replace(r"\s", SPACES))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", "\u0120")  # a space's letter
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _ids(self, chunk: str, known: dict[str, bytes]) -> bytes:
+        text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
+        word = text.removeprefix(" ")
+        if word.isalpha():
+            return self._piece(text)
+        pieces = [text[:-1], text[-1]] if text[-1:] in (",", ".") and word[:-1].isalpha() else self.pieces.findall(text)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        # A piece is a chunk, too, and most are known.
+        return b"".join([known.get(p) or self._piece(p) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunks:
-            return [array("I", self._ids(t)).tobytes() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
         parts = [self.chunks.findall(t) for t in texts]
         new: set[str] = set()
         for words in parts:
             new.update(words)
-        new.difference_update(self.cache)
-        if new:
-            self._learn(new)
-        cache = self.cache
-        out = []
-        for words in parts:
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:  # holds a very long chunk, which is not kept
-                out.append(b"".join(cache[w] if w in cache else array("I", self._ids(w)).tobytes() for w in words))
-        return out
+        new.difference_update(self.young)
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+            for words in parts:
+                new.update(words)
+        young, old = self.young, self.old
+        long: dict[str, bytes] = {}
+        for word in new:
+            ids = old.get(word)
+            (young if len(word) <= LONG_WORD else long)[word] = self._ids(word, young) if ids is None else ids
+        known = young if not long else {w: young.get(w) or long.get(w, b"") for words in parts for w in words}
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
 
 
 class RankEncoder:
