@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgrain.llm import byte_bpe, language, near_dup, near_vectors, packing, quality, token_files, toxicity
+from leafgrain.llm import byte_bpe, language, line_dedup, near_dup, near_vectors, packing, quality, token_files, toxicity
 from leafgrain.llm.common import fresh_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Shape(words=2, percent=80))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_as="n_removed").select("doc_id", "text", "n_removed")
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -64,7 +68,8 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_near_dup": op7_near_dup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_vectors": op9_near_vectors,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
