@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafgrain.llm import byte_bpe, language, line_dedup, near_dup, near_vectors, packing, quality, token_files, toxicity
+from leafgrain.llm import byte_bpe, html_text, language, line_dedup, near_dup, near_vectors, packing, quality, token_files, toxicity
 from leafgrain.llm.common import fresh_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, language.learn_dictionaries(docs))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
+    "op3_html_text": op3_html_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
