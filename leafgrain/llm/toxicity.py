@@ -24,8 +24,8 @@ SEED = "idiot moron stupid loser pathetic worthless disgusting trash scum clown
 #: Second-person words of the four languages.
 SECOND_PERSON = ("you your yours yourself du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous "
                  "votre vos usted ustedes ti contigo vosotros vuestro").split()
-#: Characters that stand for letters in disguised words.
-DISGUISE = {ord(a): ord(b) for a, b in zip("@430$517!|", "aaeossltii")}
+#: Characters that stand for letters in disguised words, in two readings.
+DISGUISES = [{ord(a): ord(b) for a, b in zip("@430$517!|", letters)} for letters in ("aaeossitii", "aaeossltll")]
 PUNCTUATION = byte_set(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\")
 LETTER = byte_set(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 INNER = byte_set(b"0123456789@$!|*_.-")
@@ -90,8 +90,10 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     at = np.flatnonzero(mixed & (tokens.length <= 24))
     if len(at):
         data = words.data.tobytes()
-        some = [data[a:b].decode("utf-8", "replace").translate(DISGUISE) for a, b in zip(tokens.starts[at], tokens.ends[at])]
-        disguised[at] = np.isin(Words(pa.array(["".join(c for c in w if c.isalpha()) or "-" for w in some])).hashes(), np.union1d(lexicon.words, lexicon.seed))
+        some = [data[a:b].decode("utf-8", "replace") for a, b in zip(tokens.starts[at], tokens.ends[at])]
+        for letters in DISGUISES:
+            plain = ["".join(c for c in w.translate(letters) if c.isalpha()) or "-" for w in some]
+            disguised[at] |= np.isin(Words(pa.array(plain)).hashes(), np.union1d(lexicon.words, lexicon.seed))
     hit = word | seed | stem | disguised
     # Hits with a second-person word of the same text within a few words.
     near = np.zeros(len(hit), bool)
