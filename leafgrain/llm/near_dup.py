@@ -18,7 +18,7 @@ from leafgrain.llm.wordstats import Words, mix
 #: Bits of a register after the leading-zero count.
 MANTISSA = 10
 #: Members of a bucket compared with each other at once.
-BLOCK = 256
+BLOCK = 1024
 #: How many standard errors below the threshold an estimate may lie without ruling a pair out.
 ERRORS = 5.0
 
@@ -137,76 +137,130 @@ def in_reach(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity. Only texts of classes in a pair are read again."""
+def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """(cls, shingles) of the wanted classes (cls), from one text of each, written down. No other text is read again."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             own = shingle_sets(batch.column(0), shape.words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["digest", "shingles"])
 
+    wanted = wanted.distinct().join(classes.select("cls", "digest", "rep"), "cls")
+    texts = docs.select("doc_id", "text").join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    known = texts.select("text").where("text is not null").mapInArrow(sets, "digest binary, shingles binary").join(wanted.select("cls", "digest"), "digest")
+    return materialize(known.select("cls", "shingles"), "shingles")
+
+
+def verify(pairs: DataFrame, known: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= shape.percent * (len(x) + len(y) - common))
+                ok.append(similar(x, [y], shape)[0])
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "digest", "rep"), "cls")
-    texts = docs.select("doc_id", "text").join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    known = texts.select("text").where("text is not null").mapInArrow(sets, "digest binary, shingles binary").join(wanted.select("cls", "digest"), "digest")
-    known = materialize(known.select("cls", "shingles"), "shingles")
     for x in "ab":
         pairs = pairs.join(known.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}")), x)
     return pairs.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def across(bands: DataFrame, hits: DataFrame, roots: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
-    """Pairs in reach that share a band but not yet a component.
+def similar(x: np.ndarray, others: list[np.ndarray], shape: Shape) -> np.ndarray:
+    """Whether each of the other sets has the similarity to x; all are ascending and not empty."""
+    values = np.concatenate(others)
+    sizes = np.array([len(o) for o in others])
+    hit = x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+    common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * common >= shape.percent * (len(x) + sizes - common)
+
+
+def link_groups(left: pa.Table, right: pa.Table, shape: Shape) -> pa.Table:
+    """Links (a, b) that join the components of one group, as few as it takes.
 
-    In each bucket the members outside its largest component are compared with all of it, in blocks, by their
-    registers; only pairs in reach leave the task.
+    Every class on the left is held against every class of another component on the right: sizes and registers first,
+    then full sets. What a link has joined is one component from then on.
+    """
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    x, y = ([t.column(f"{c}{s}").to_numpy() for c in ("cls", "root", "n")] for s, t in enumerate((left, right)))
+    rx, ry = (np.frombuffer(b"".join(t.column(f"registers{s}").to_pylist()), np.uint16).reshape(-1, shape.registers) for s, t in enumerate((left, right)))
+    sx, sy = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column(f"shingles{s}")] for s, t in enumerate((left, right)))
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while up.get(v, v) != v:
+            v = up[v]
+        return v
+
+    labels, links = y[1].copy(), []
+    for cls, root, n, registers, own in zip(*x, rx, sx):
+        mine = find(int(root))
+        at = np.flatnonzero(labels != mine)
+        at = at[may_be_similar((ry[at] == registers).sum(1), np.full(len(at), float(n)), y[2][at].astype(float), shape)]
+        for k in range(0, len(at), 512):
+            some = at[k:k + 512]
+            for j in some[similar(own, [sy[i] for i in some], shape)]:
+                theirs = find(int(labels[j]))
+                if theirs != mine:
+                    links.append((cls, y[0][j]))
+                    up[theirs] = mine
+                    labels[labels == theirs] = mine
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def compare_groups(left: DataFrame, right: DataFrame, facts: DataFrame, shape: Shape) -> DataFrame:
+    """Links between what is left and right of each ``place``, in blocks of ``BLOCK`` classes a side.
+
+    ``left`` and ``right`` are (place, cls, root); a place with many classes is many tasks.
+    """
+    count = lambda t, n: t.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    grid = count(left, "across").join(count(right, "down"), "place")
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, "place").withColumn("i", block("across")).withColumn("j", every("down"))
+    right = right.join(grid, "place").withColumn("j", block("down")).withColumn("i", every("across"))
+    names = ("place", "i", "j", "cls", "root", "n", "registers", "shingles")  # a cogroup needs columns of its own on either side
+    sides = [t.join(facts, "cls").select(*(F.col(c).alias(f"{c}{s}") for c in names)).groupBy(*(f"{c}{s}" for c in names[:3])) for s, t in enumerate((left, right))]
+    return sides[0].cogroup(sides[1]).applyInArrow(lambda x, y: link_groups(x, y, shape), "a bigint, b bigint")
+
+
+def across(shared: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """Links between classes that share a band but, after the stars, no component.
+
+    In each bucket the members outside its largest component are held against all of that component (once, however
+    many buckets say so) and, inside the bucket, against each other. Comparisons stay in the task; only links that
+    join components leave it.
     """
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        x, y = ([t.column(f"{c}{s}").to_numpy() for c in ("cls", "root", "n")] for s, t in enumerate((left, right)))
-        rx, ry = (np.frombuffer(b"".join(t.column(f"registers{s}").to_pylist()), np.uint16).reshape(-1, shape.registers) for s, t in enumerate((left, right)))
-        a, b = [], []
-        for cls, root, n, reg in zip(*x, rx):
-            ok = (y[1] != root) & may_be_similar((ry == reg).sum(1), np.full(len(ry), float(n)), y[2].astype(float), shape)
-            a += [cls] * int(ok.sum())
-            b += y[0][ok].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    members = bands.join(hits.where("members > 3").select("key", "members"), "key").join(roots.withColumnRenamed("v", "cls"), "cls", "left")
-    members = members.withColumn("root", F.coalesce("root", "cls"))
-    sizes = members.groupBy("key", "root", "members").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key", "members").agg(F.max_by("root", "size").alias("main"), F.max("size").alias("most")).where("most < members")
-    main = main.select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("others"))
-    members = materialize(members.drop("members").join(main, "key").join(classes.select("cls", "n", "registers"), "cls"), "members")
-    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    out = members.where("root <> main").withColumn("j", place("others")).withColumn("i", F.explode(spread("blocks")))
-    every = members.withColumn("i", place("blocks")).withColumn("j", F.explode(spread("others")))
-    names = ("key", "i", "j", "cls", "root", "n", "registers")  # a cogroup needs columns of its own on either side
-    sides = [t.select(*(F.col(c).alias(f"{c}{s}") for c in names)).groupBy(f"key{s}", f"i{s}", f"j{s}") for s, t in enumerate((out, every))]
-    pairs = sides[0].cogroup(sides[1]).applyInArrow(compare, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = roots.withColumnRenamed("v", "cls")
+    members = shared.where("members > 2").select("key", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    members = members.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    main = members.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    main = main.where("_low <> _high").select("key", F.col("main.root").alias("main"))
+    outside = materialize(members.join(main, "key").where("root <> main").select("key", "cls", "root", "main"), "outside")
+    asked = outside.select(F.col("main").alias("place"), "cls", "root").distinct()
+    alone = asked.select("place").distinct()
+    inside = alone.join(roots.select("cls", F.col("root").alias("place")), "place")
+    # A main component of one class is not among the roots.
+    inside = inside.union(alone.join(inside.select("place").distinct(), "place", "left_anti").select("place", F.col("place").alias("cls")))
+    inside = materialize(inside.select("place", "cls", F.col("place").alias("root")), "inside")
+    several = outside.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    each = outside.join(several, "key").select(F.col("key").alias("place"), "cls", "root")
+    known = full_sets(outside.select("cls").union(inside.select("cls")), docs, classes, shape)
+    facts = classes.select("cls", "n", "registers").join(known, "cls")
+    return compare_groups(asked, inside, facts, shape).union(compare_groups(each, each, facts, shape))
 
 
 def near_duplicates(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Words are runs of non-space bytes, A-Z in lower case; shingles are ``words`` of them. Documents of equal sets are
-    one class from the start. Classes that share a band are first compared with the least and the greatest class of
-    their bucket; then, in buckets that still hold several components, with every class of another component. Pairs in
-    reach of the threshold by the corrected register estimate are verified on full sets. So a component is found whole
-    without listing the pairs inside it.
+    one class from the start. Classes that share a band are first compared with two of their bucket: the one that
+    shares most bands with any others, and the least. Then, in buckets that still hold several components, the members
+    are held against the other components. Pairs in reach of the threshold by the corrected register estimate are
+    verified on full sets. So a component is found whole without listing the pairs inside it.
 
     A null text, or one without words, has no shingles and is linked with nothing. ``component_id`` is the least
     doc_id of a component; ``kept`` marks it (repeated rows of that doc_id alike). A null doc_id is never the least
@@ -221,14 +275,19 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         f"transform(sequence(0, {shape.bands - 1}), i -> xxhash64(i, substring(registers, i * {width} + 1, {width})))")).alias("key"))
     hits = bands.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("members")).where("low < high")
     hits = materialize(hits, "buckets")
-    stars = bands.join(hits, "key").select("cls", F.explode(F.array("low", "high")).alias("other")).where("cls <> other")
+    shared = materialize(bands.join(hits.select("key", "low", "members"), "key"), "shared")
+    # The class whose buckets are fullest is the one that most others were copied from.
+    fullness = shared.groupBy("cls").agg((F.sum("members") + F.pmod("cls", F.lit(9973)) / 10_000).alias("fullness"))
+    centres = shared.join(fullness, "cls").groupBy("key").agg(F.max_by("cls", "fullness").alias("centre"))
+    stars = shared.join(centres, "key").select("cls", F.explode(F.array("low", "centre")).alias("other")).where("cls <> other")
     stars = stars.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
     tried = materialize(in_reach(stars, classes, shape), "stars")
-    links = materialize(verify(tried, docs, classes, shape), "links")
+    known = full_sets(tried.select(F.col("a").alias("cls")).union(tried.select("b")), docs, classes, shape)
+    links = materialize(verify(tried, known, shape), "links")
     roots = components(links)
-    more = materialize(across(bands, hits, roots, classes, shape).join(tried, ["a", "b"], "left_anti"), "across")
+    more = materialize(across(shared, roots, docs, classes, shape), "across")
     if not more.isEmpty():
-        roots = components(links.union(verify(more, docs, classes, shape)))
+        roots = components(links.union(more))
     rooted = classes.select("digest", "cls").join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("digest", F.coalesce("root", "cls").alias("root"))
     placed = sketches.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")
     least = classes.select("cls", "rep").join(roots.withColumnRenamed("v", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rep").alias("_least"))
