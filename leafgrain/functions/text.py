@@ -116,7 +116,7 @@ def highlight_snippet(text: Column, folded_terms: Column, size: int = SNIPPET_TO
     marked = F.transform(
         F.slice(words, start, size),
         lambda w: F.when(
-            F.rlike(fold_term(w), pattern), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))
+            (F.size(folded_terms) > 0) & F.rlike(fold_term(w), pattern), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))
         ).otherwise(w),
     )
     return F.concat(

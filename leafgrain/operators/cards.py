@@ -53,6 +53,11 @@ def validate_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumn("errors", card_errors())
 
 
+def stripped_sources(cards: DataFrame) -> DataFrame:
+    """Cards whose cited ids have no white space around them, as the card contract reads them."""
+    return cards.withColumn("source_passage_ids", F.transform("source_passage_ids", tx.strip))
+
+
 def validate_card_batches(batches: DataFrame, cards: DataFrame) -> DataFrame:
     """Batches with a ``valid`` flag: own sources present and unique, cards cite only those.
 
@@ -61,7 +66,7 @@ def validate_card_batches(batches: DataFrame, cards: DataFrame) -> DataFrame:
     """
     keys = [*KEYS, "batch_index"]
     own = batches.select(*keys, F.col("source_passage_ids").alias("_own"))
-    outside = cards.join(own, keys).groupBy(*keys).agg(
+    outside = stripped_sources(cards).join(own, keys).groupBy(*keys).agg(
         F.count_if(
             (F.size(F.array_except("source_passage_ids", "_own")) > 0) | (F.size(card_errors()) > 0)
         ).alias("_bad")
@@ -118,13 +123,35 @@ def cited_support(cards: DataFrame, passages: DataFrame, threshold: float = THRE
     ).select("id", F.col("_missing.passage_id").alias("missing_ids"), "supported")
 
 
+def quoted_anywhere(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) -> DataFrame:
+    """Whether each normalized ``quote`` stands in any normalized ``text``.
+
+    A quote meets only the texts that hold the rarest of its inner tokens (the outer two may be parts of words; of a
+    quote of one or two tokens, any). Only tokens that some quote has are counted, and never pairs of all with all.
+    """
+    tokens = tx.evidence_tokens(F.col("quote"))
+    inner = F.when(F.size(tokens) > 2, F.slice(tokens, 2, F.size(tokens) - 2)).otherwise(tokens)
+    asked = quotes.select(quote_id, F.explode(F.array_distinct(inner)).alias("token"))
+    held = texts.select(text_id, F.explode(F.array_distinct(tx.evidence_tokens(F.col("text")))).alias("token"))
+    held = held.join(asked.select("token").distinct(), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "token", "left").groupBy(quote_id).agg(
+        F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")
+    )
+    met = rarest.join(held, "token").join(texts, text_id).join(quotes, quote_id)
+    found = met.filter(F.col("text").contains(F.col("quote"))).select(quote_id).distinct()
+    return quotes.join(found.withColumn("quoted", F.lit(True)), quote_id, "left").withColumn(
+        "quoted", F.coalesce("quoted", F.lit(False))
+    )
+
+
 def verify_cards(cards: DataFrame, passages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Cards with ``accepted``, ``reason`` and ``rejected_ids``.
 
     Reasons in order: invalid_card, missing_source (any missing id rejects),
     evidence_mismatch (one supporting passage suffices).
     """
-    checked = validate_cards(cards)
+    checked = validate_cards(stripped_sources(cards))
     support = cited_support(checked.filter(F.size("errors") == 0), passages, threshold)
     joined = checked.join(support, "id", "left")
     none = F.array().cast("array<string>")
@@ -237,7 +264,7 @@ def with_rank_order(cards: DataFrame, scores: DataFrame) -> DataFrame:
     order = F.struct(
         (-F.round("confidence", 6)).alias("confidence"),
         (-F.size(F.array_distinct("source_passage_ids"))).alias("sources"),
-        (-F.col("section_score")).alias("section"), F.col("card_index").alias("card_index"),
+        (-F.col("section_score")).alias("section"), F.col("card_index").alias("card_index"), F.col("id").alias("id"),
     )
     return scored.withColumn("rank_order", order)
 

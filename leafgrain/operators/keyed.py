@@ -35,10 +35,17 @@ def first_per_key(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFra
     return best.select("_row.*")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
+    """Left join on keys of which any may be null; the right side's keys are dropped."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") if k in keys else F.col(k) for i, k in enumerate(right.columns)])
+    match = [left[k].eqNullSafe(named[f"_k{right.columns.index(k)}"]) for k in keys]
+    return left.join(named, match, "left").drop(*[f"_k{right.columns.index(k)}" for k in keys])
+
+
 def number_rows(
     df: DataFrame, keys: Keys, block: str, order: Sequence[Column], out: str
 ) -> DataFrame:
-    """0-based position inside each key, computed block by block."""
+    """0-based position inside each key, computed block by block; a null block comes first."""
     inside = W.partitionBy(*keys, block).orderBy(*order)
     local = df.withColumn("_pos", F.row_number().over(inside) - 1)
     before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
@@ -49,7 +56,7 @@ def number_rows(
         .drop("_n")
     )
     return (
-        local.join(offsets, [*keys, block])
+        join_null_safe(local, offsets, [*keys, block])
         .withColumn(out, (F.col("_pos") + F.col("_offset")).cast("int"))
         .drop("_pos", "_offset")
     )
@@ -73,7 +80,7 @@ def carry_last(
         .drop("_end")
     )
     return (
-        local.join(carried, [*keys, block])
+        join_null_safe(local, carried, [*keys, block])
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop("_value", "_local", "_carry")
     )
@@ -83,7 +90,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an iterative result.
 
     Uses the folder the session names in ``spark.checkpoint.dir`` (shared by the
-    cluster, so it outlives executors); a temporary one only where it is unset.
+    cluster, so it outlives executors).
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -93,9 +100,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark, name: str) -> str:
-    """Folder for written intermediate tables, under the shared checkpoint folder."""
+    """Folder for written intermediate tables, under the shared checkpoint folder.
+
+    Only a local master, where driver and executor are one process, may leave ``spark.checkpoint.dir`` unset. All
+    folders of an application lie under one that bears its id, so they can be removed together.
+    """
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/leafgrain-{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/leafgrain-local"
+    return f"{base.rstrip('/')}/leafgrain-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

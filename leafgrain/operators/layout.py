@@ -371,8 +371,8 @@ def promote_title(elements: DataFrame) -> DataFrame:
 
 def searchable_body(elements: DataFrame) -> DataFrame:
     """Body elements the chunker packs: searchable types, not blank, not references."""
-    under_references = F.exists(
-        "heading_path", lambda h: F.lower(tx.normalize_ws(h)) == "references"
+    under_references = F.coalesce(
+        F.exists("heading_path", lambda h: F.lower(tx.normalize_ws(h)) == "references"), F.lit(False)
     )
     return elements.filter(
         F.col("element_type").isin(*SEARCHABLE_ELEMENT_TYPES)

@@ -185,6 +185,9 @@ def vector_rank(
         *keys, F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")
     )
 
+    id_type = query_vectors.schema["query_id"].dataType.simpleString()
+    text_id = id_type == "string"
+
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -201,13 +204,13 @@ def vector_rank(
                     defined = np.flatnonzero(np.isfinite(line))
                     order = defined[np.lexsort((names[defined], -line[defined]))][:limit]
                     yield pd.DataFrame({
-                        "query_id": int(ask), "passage_id": names[order],
+                        "query_id": ask if text_id else int(ask), "passage_id": names[order],
                         "semantic_score": line[order],
                     })
 
     pairs = left.join(right, keys)
     scored = pairs.select("ids", "matrix", "query_ids", "query_matrix", "dimension").mapInPandas(
-        score, "query_id bigint, passage_id string, semantic_score double"
+        score, f"query_id {id_type}, passage_id string, semantic_score double"
     )
     order = [F.desc("semantic_score"), F.asc("passage_id")]
     return top_k(scored, ["query_id"], order, limit, "semantic_rank")

@@ -174,9 +174,10 @@ def split_single_row(c: Corpus):
 
 @query("split_oversize_text")
 def split_oversize_text(c: Corpus):
-    """Whole documents cut to 900 tokens by characters."""
+    """Whole documents, cut to 900 tokens by characters where they are longer."""
     over = tx.count_tokens(F.col("text")) > 900
-    pieces = sp.text_pieces(F.when(over, tx.normalize_ws(F.col("text"))), 900)
+    text = tx.normalize_ws(F.col("text"))
+    pieces = F.coalesce(sp.text_pieces(F.when(over, text), 900), F.array(text))
     return c.documents.select("doc_id", F.posexplode(pieces).alias("n", "piece")).select(
         "doc_id", "n", tx.count_tokens(F.col("piece")).alias("tokens"), F.sha2("piece", 256).alias("digest")
     )

@@ -32,26 +32,17 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
-    def spread(self, name: str, *keys: str) -> DataFrame:
-        """A scan that uses every core: tables of few file splits are spread by key.
-
-        At cluster scale a table has more splits than cores and is left as it is.
-        """
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
     @cached_property
     def documents(self) -> DataFrame:
-        return self.spread("documents", "doc_id")
+        return self.table("documents")
 
     @cached_property
     def turns(self) -> DataFrame:
-        return self.spread("conversations", "conv_id", "turn")
+        return self.table("conversations")
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.spread("pages", "page_id")
+        return self.table("pages")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -163,12 +154,12 @@ class Corpus:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """One search per benchmark item: its first three words, scoped to a space."""
+        """One search per benchmark item: its whole text, scoped to a space."""
         i = F.col("item_id")
         words = tx.word_tokens(F.col("text"))
         return self.table("benchmark").select(
             i.alias("query_id"),
-            F.array_join(F.slice(words, 1, 3), " ").alias("query"),
+            F.array_join(words, " ").alias("query"),
             F.concat(F.lit("src"), i % 20).alias("space_id"),
             F.when(i % 3 == 0, "auto").when(i % 3 == 1, "fts").otherwise("hybrid").alias("mode"),
             F.col("text"),
@@ -185,7 +176,11 @@ class Corpus:
 
     @cached_property
     def cards(self) -> DataFrame:
-        """One card per conversation turn, five conversations to a paper."""
+        """One card per conversation turn, five conversations to a paper.
+
+        Three turns in five are summarized by their whole text, the others by the paper's first line, so that some cards
+        of a paper are near copies. Quotes are a whole line, the line's words backwards, or the whole turn.
+        """
         c, t = F.col("conv_id"), F.col("turn")
         paper = F.floor(c / 5)
         kinds = F.array(*[F.lit(k) for k in CARD_KINDS])
@@ -195,17 +190,15 @@ class Corpus:
         )
         turns = self.turns.withColumn("paper_no", paper)
         words = F.split("lead", " ")
-        own = F.substring(tx.normalize_ws(F.col("text")), 1, 50)
+        own = tx.normalize_ws(F.col("text"))
         sources = F.array_distinct(F.array(
             F.concat(F.lit("doc-"), "paper_no", F.lit("-p0")),
             F.concat(F.lit("doc-"), "paper_no", F.lit("-p"), t % 4),
         ))
-        summary = F.when(t % 5 == 4, own).otherwise(
-            F.concat(F.array_join(F.slice(words, 1, 8), " "), F.lit(" note "), t)
-        )
+        summary = F.when(t % 5 >= 2, own).otherwise(F.concat("lead", F.lit(" note "), t))
         quote = (
-            F.when(t % 3 == 0, F.substring("lead", 1, 60))
-            .when(t % 3 == 1, F.array_join(F.reverse(F.slice(words, 2, 8)), " "))
+            F.when(t % 3 == 0, F.col("lead"))
+            .when(t % 3 == 1, F.array_join(F.reverse(words), " "))
             .otherwise(own)
         )
         return turns.join(first, "paper_no").select(

@@ -229,11 +229,12 @@ LABELLED = dict(
     lab=f"SELECT *, {o.is_reference('passage_type', 'section', 'hp')} AS ref, {o.analysis_type('passage_type', 'section', 'hp')}"
     " AS kind FROM lab0",
 )
+BUDGET = 8000
 BATCH = dict(
     **LABELLED,
     pay0=f"SELECT *, {PAYLOAD} AS pay, {o.priority('kind')} AS pri FROM lab WHERE NOT ref",
-    ov=f"SELECT id, string_split(original_text, ' ') AS ws, 1200 - {o.tokens(EMPTY)} AS room FROM pay0 WHERE"
-    f" {o.tokens('pay')} > 1200",
+    ov=f"SELECT id, string_split(original_text, ' ') AS ws, {BUDGET} - {o.tokens(EMPTY)} AS room FROM pay0 WHERE"
+    f" {o.tokens('pay')} > {BUDGET}",
     cutw="SELECT id, 1 AS i, ws[1] AS word, 1 AS w, length(ws[1]) AS c, 0 AS f FROM ov UNION ALL SELECT id, i, word, CASE WHEN"
     " fits THEN w + 1 ELSE 1 END, CASE WHEN fits THEN c + 1 + length(word) ELSE length(word) END, CASE WHEN fits THEN f ELSE"
     " f + 1 END FROM (SELECT r.id, i + 1 AS i, ws[i + 1] AS word, w, c, f, greatest(w + 1, ceil((c + 1 + length(ws[i + 1]))"
@@ -248,7 +249,7 @@ BATCH = dict(
     fold="SELECT paper_id, n, kind, hp, w, ch, 1 AS g FROM ordered WHERE n = 1 UNION ALL SELECT paper_id, n, kind, hp,"
     " CASE WHEN keep THEN fw + w ELSE w END, CASE WHEN keep THEN fc + 1 + ch ELSE ch END, CASE WHEN keep THEN fg ELSE"
     " fg + 1 END FROM (SELECT x.*, f.w AS fw, f.ch AS fc, f.g AS fg, x.kind = f.kind AND x.hp = f.hp AND greatest(f.w +"
-    " x.w, ceil((f.ch + 1 + x.ch) / 4.0)) <= 1200 AS keep FROM fold f JOIN ordered x ON x.paper_id = f.paper_id AND x.n ="
+    f" x.w, ceil((f.ch + 1 + x.ch) / 4.0)) <= {BUDGET} AS keep FROM fold f JOIN ordered x ON x.paper_id = f.paper_id AND x.n ="
     " f.n + 1)",
     bat="SELECT paper_id, g, any_value(kind) AS kind, any_value(hp) AS hp, sum(w) AS w, sum(ch) + count(*) - 1 AS ch,"
     " list(id ORDER BY n) AS ids FROM (SELECT o.paper_id, o.n, o.kind, o.hp, o.w, o.ch, id, g FROM ordered o JOIN (SELECT"
@@ -256,7 +257,7 @@ BATCH = dict(
     mfold="SELECT paper_id, g, kind, w, ch, 1 AS m FROM bat WHERE g = 1 UNION ALL SELECT paper_id, g, kind, CASE WHEN keep"
     " THEN fw + w ELSE w END, CASE WHEN keep THEN fc + 1 + ch ELSE ch END, CASE WHEN keep THEN fm ELSE fm + 1 END FROM"
     " (SELECT b.*, f.w AS fw, f.ch AS fc, f.m AS fm, b.kind = 'body' AND f.kind = 'body' AND greatest(f.w + b.w,"
-    " ceil((f.ch + 1 + b.ch) / 4.0)) <= 1200 AS keep FROM mfold f JOIN bat b ON b.paper_id = f.paper_id AND b.g = f.g + 1)",
+    f" ceil((f.ch + 1 + b.ch) / 4.0)) <= {BUDGET} AS keep FROM mfold f JOIN bat b ON b.paper_id = f.paper_id AND b.g = f.g + 1)",
     fin="SELECT bat.paper_id, m - 1 AS batch_index, any_value(bat.kind) AS passage_type, CASE WHEN count(*) > 1 THEN"
     " CAST([] AS VARCHAR[]) ELSE any_value(hp) END AS path, any_value(bat.paper_id) AS pp, flatten(list(ids ORDER BY bat.g)) AS ids0, CAST(sum(greatest("
     "bat.w, ceil(bat.ch / 4.0))) AS BIGINT) AS token_count FROM bat JOIN (SELECT paper_id, g, m FROM mfold) USING"
@@ -264,7 +265,6 @@ BATCH = dict(
     fin2="SELECT *, list_filter(ids0, lambda v, i: list_position(ids0, v) = i) AS ids FROM fin",
     place="SELECT paper_id, n, m - 1 AS batch_index FROM fold JOIN (SELECT paper_id, g, m FROM mfold) USING (paper_id, g)",
 )
-BUDGET = 1200
 
 
 def batch_parts(c: Corpus):
@@ -290,8 +290,8 @@ def analysis_batches(c: Corpus):
 
 @query("split_to_budget")
 def split_to_budget(c: Corpus):
-    """Every passage cut to payloads of at most 120 tokens."""
-    return an.prepared_passages(c.passages, 120).select(
+    """Every passage cut to payloads of the default budget."""
+    return an.prepared_passages(c.passages, BUDGET).select(
         "id", "fragment_index", "fragment_count", F.length("text").alias("chars"), "words"
     )
 
@@ -305,8 +305,8 @@ UNDERSTAND = dict(
     " FROM lab WHERE NOT ref)",
     no="SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY r, page_number, paragraph_index) AS n FROM rk",
     un="SELECT paper_id, n, [id] AS ids, t AS used FROM no WHERE n = 1 UNION ALL SELECT no.paper_id, no.n, CASE WHEN"
-    " len(ids) < 24 AND used + t <= 500 THEN list_append(ids, id) ELSE ids END, CASE WHEN len(ids) < 24 AND used + t <="
-    " 500 THEN used + t ELSE used END FROM un JOIN no ON no.paper_id = un.paper_id AND no.n = un.n + 1",
+    " len(ids) < 24 AND used + t <= 12000 THEN list_append(ids, id) ELSE ids END, CASE WHEN len(ids) < 24 AND used + t <="
+    " 12000 THEN used + t ELSE used END FROM un JOIN no ON no.paper_id = un.paper_id AND no.n = un.n + 1",
 )
 
 
@@ -318,7 +318,7 @@ UNDERSTAND = dict(
     ),
 )
 def understanding_passages(c: Corpus):
-    return an.understanding_passages(c.passages, budget=500).select("paper_id", "id", "place")
+    return an.understanding_passages(c.passages).select("paper_id", "id", "place")
 
 
 @query(
@@ -449,18 +449,14 @@ def evidence_supported(c: Corpus):
 
 @query(
     "benchmark_evidence",
-    f"SELECT item_id, bool_or(contains({o.evidence('d.text')}, {o.evidence('b.text')})) AS quoted FROM benchmark b JOIN"
-    " documents d ON d.doc_id % 40 = b.item_id % 40 GROUP BY 1",
+    f"SELECT item_id, bool_or(contains({o.evidence('d.text')}, {o.evidence('b.text')})) AS quoted FROM benchmark b CROSS JOIN"
+    " documents d GROUP BY 1",
 )
 def benchmark_evidence(c: Corpus):
-    """Benchmark texts as quotes against the documents of the same residue."""
-    quotes = c.table("benchmark").select(
-        "item_id", (F.col("item_id") % 40).alias("k"), tx.evidence_norm(F.col("text")).alias("q")
-    )
-    texts = c.documents.select((F.col("doc_id") % 40).alias("k"), tx.evidence_norm(F.col("text")).alias("t"))
-    return texts.join(quotes, "k").groupBy("item_id").agg(
-        F.bool_or(F.col("t").contains(F.col("q"))).alias("quoted")
-    )
+    """Every benchmark text as a quote against every document."""
+    quotes = c.table("benchmark").select("item_id", tx.evidence_norm(F.col("text")).alias("quote"))
+    texts = c.documents.select("doc_id", tx.evidence_norm(F.col("text")).alias("text"))
+    return cd.quoted_anywhere(quotes, "item_id", texts, "doc_id").select("item_id", "quoted")
 
 
 BATCHES_SQL = dict(
@@ -574,11 +570,11 @@ def rank_cards(c: Corpus):
 
 @query(
     "top_cards_per_paper",
-    o.sql("SELECT id, n AS card_rank, CASE WHEN n <= 6 THEN 'ranked' ELSE 'overflow' END AS verdict FROM kr", "cards",
+    o.sql("SELECT id, n AS card_rank, CASE WHEN n <= 20 THEN 'ranked' ELSE 'overflow' END AS verdict FROM kr", "cards",
           "passages", **RANKED),
 )
 def top_cards_per_paper(c: Corpus):
-    return cd.top_cards_per_paper(c.cards, scores_of(c), 6).select("id", "card_rank", "verdict")
+    return cd.top_cards_per_paper(c.cards, scores_of(c)).select("id", "card_rank", "verdict")
 
 
 TOKENS = o.summary_tokens("summary")
@@ -621,13 +617,13 @@ DEDUP = dict(
 @query(
     "dedup_rank_cards",
     o.sql(
-        "SELECT id, CASE WHEN dup_id IS NOT NULL THEN 'duplicate' WHEN r <= 5 THEN 'ranked' ELSE 'overflow' END AS verdict,"
+        "SELECT id, CASE WHEN dup_id IS NOT NULL THEN 'duplicate' WHEN r <= 20 THEN 'ranked' ELSE 'overflow' END AS verdict,"
         " coalesce(r, -1) AS card_rank, coalesce(dup_id, '') AS duplicate_of FROM fin", "cards", "passages", recursive=True,
         **DEDUP,
     ),
 )
 def dedup_rank_cards(c: Corpus):
-    return cd.dedup_rank_cards(c.cards, scores_of(c), 5).select(
+    return cd.dedup_rank_cards(c.cards, scores_of(c)).select(
         "id", "verdict", F.coalesce("card_rank", F.lit(-1)).alias("card_rank"),
         F.coalesce("duplicate_of", F.lit("")).alias("duplicate_of"),
     )

@@ -308,7 +308,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "q": (
         (),
-        f"SELECT item_id AS query_id, array_to_string(list_slice({word_list('text')}, 1, 3), ' ')"
+        f"SELECT item_id AS query_id, array_to_string({word_list('text')}, ' ')"
         " AS query, 'src' || (item_id % 20) AS space_id, CASE item_id % 3 WHEN 0 THEN 'auto'"
         " WHEN 1 THEN 'fts' ELSE 'hybrid' END AS mode, text FROM benchmark",
     ),
@@ -322,13 +322,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT 'card-' || conv_id || '-' || turn AS id, space_id, 'doc-' || paper_no AS paper_id,"
         " CASE WHEN turn % 3 <> 2 THEN 'doc-' || paper_no || '-p0' END AS source_passage_id,"
         f" list_extract({lit(CARD_KINDS)}, CAST((conv_id + turn) % 4 + 1 AS BIGINT)) AS card_type,"
-        f" CASE WHEN turn % 5 = 4 THEN substr({ws('text')}, 1, 50) ELSE"
-        " array_to_string(list_slice(string_split(lead, ' '), 1, 8), ' ') || ' note ' || turn END"
+        f" CASE WHEN turn % 5 >= 2 THEN {ws('text')} ELSE lead || ' note ' || turn END"
         " AS summary, CASE WHEN turn % 4 = 0 THEN ['doc-' || paper_no || '-p0'] ELSE"
         " ['doc-' || paper_no || '-p0', 'doc-' || paper_no || '-p' || (turn % 4)] END"
-        " AS source_passage_ids, CASE turn % 3 WHEN 0 THEN substr(lead, 1, 60) WHEN 1 THEN"
-        " array_to_string(list_reverse(list_slice(string_split(lead, ' '), 2, 9)), ' ')"
-        f" ELSE substr({ws('text')}, 1, 50) END AS evidence_quote,"
+        " AS source_passage_ids, CASE turn % 3 WHEN 0 THEN lead WHEN 1 THEN"
+        " array_to_string(list_reverse(string_split(lead, ' ')), ' ')"
+        f" ELSE {ws('text')} END AS evidence_quote,"
         " CASE WHEN turn % 7 = 6 THEN '' ELSE 'because' END AS reasoning_summary,"
         " round(((conv_id * 7 + turn * 3) % 100) / 100.0, 2) AS confidence,"
         " turn % 4 = 3 AS user_edited, CASE turn % 4 WHEN 3 THEN 'user' WHEN 2 THEN 'heuristic'"

@@ -375,7 +375,7 @@ HASHED = dict(
     plan="SELECT p.id, coalesce(p.parse_run_id, '') AS run, p.page_number, p.paragraph_index, CASE WHEN"
     " s.passage_id IS NOT NULL THEN 'skip' WHEN n.passage_id IS NOT NULL THEN 'reuse' ELSE 'embed'"
     " END AS action, n.passage_id AS origin FROM passages p LEFT JOIN stored s ON s.passage_id = p.id"
-    " LEFT JOIN newest n ON n.content_hash = p.content_hash WHERE p.parse_run_id IS NOT NULL",
+    " LEFT JOIN newest n ON n.content_hash = p.content_hash",
 )
 
 
@@ -389,8 +389,7 @@ def stored_vectors(c: Corpus):
 
 
 def plan_of(c: Corpus):
-    mine = c.passages.filter("parse_run_id is not null")
-    return em.embedding_plan(mine, stored_vectors(c), PROVIDER, MODEL)
+    return em.embedding_plan(c.passages, stored_vectors(c), PROVIDER, MODEL)
 
 
 @query(
@@ -450,7 +449,7 @@ def latest_vector_by_hash(c: Corpus):
     ),
 )
 def embedding_run_stats(c: Corpus):
-    return em.embedding_run_stats(plan_of(c))
+    return em.embedding_run_stats(plan_of(c)).na.fill("", ["parse_run_id"])
 
 
 @query(

@@ -81,11 +81,12 @@ def stream_embedding_delta(c: Corpus):
     root = work_dir(c.spark, "embed")
     finish(st.stream_embedding_delta(
         stream_of(c, "documents"),
-        lambda batch: BatchCorpus(c, batch).passages.filter("parse_run_id is not null"),
+        lambda batch: BatchCorpus(c, batch).passages,
         stored_vectors(c), em.hashing_encoder(64), PROVIDER, MODEL, NOW, f"{root}/vectors",
         f"{root}/stats", f"{root}/state",
     ))
-    return c.spark.read.parquet(f"{root}/stats").groupBy("parse_run_id").agg(*[
+    run = F.coalesce("parse_run_id", F.lit("")).alias("parse_run_id")
+    return c.spark.read.parquet(f"{root}/stats").groupBy(run).agg(*[
         F.sum(n).alias(n) for n in ("passage_count", "embedded_count", "reused_count", "skipped_count")
     ])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafgrain.functions import meta
 from leafgrain.functions import text as tx
 from leafgrain.schemas import (
-    CORE_METADATA_FIELDS, MAX_BATCH_FILES, MAX_FILE_BYTES, TABLE_SCHEMAS,
+    CORE_METADATA_FIELDS, MAX_FILE_BYTES, TABLE_SCHEMAS,
 )
 
 
@@ -54,11 +54,15 @@ def register_documents(
 
     ``files``: file_id, space_id, filename, content, arrived. The first file of a
     content owns the new paper; both firsts and known papers are found by
-    map-side combined minima, so many copies of one content cost one row.
+    map-side combined minima, so many copies of one content cost one row. A file
+    over ``max_bytes`` keeps its row with the status ``rejected``; where the
+    listing has a ``size``, that is tested before the content is read.
     """
-    hashed = files.filter(F.octet_length("content") <= max_bytes).select(
-        "file_id", "space_id", "filename", "arrived", F.sha2("content", 256).alias("file_hash")
-    )
+    size = F.col("size") if "size" in files.columns else F.octet_length("content")
+    fits = F.coalesce(size, F.lit(0)) <= max_bytes
+    columns = ["file_id", "space_id", "filename", "arrived"]
+    hashed = files.filter(fits).select(*columns, F.sha2("content", 256).alias("file_hash"))
+    rejected = files.filter(~fits).select(*columns)
     keys = ["space_id", "file_hash"]
     firsts = hashed.groupBy(*keys).agg(
         F.min_by("file_id", F.struct("arrived", "file_id")).alias("_first")
@@ -67,7 +71,7 @@ def register_documents(
     owners = firsts.join(known, keys, "left")
     title = meta.filename_title(F.col("filename"))
     is_new = F.col("_known").isNull() & (F.col("file_id") == F.col("_first"))
-    return hashed.join(owners, keys).select(
+    registered = hashed.join(owners, keys).select(
         "file_id", *keys,
         F.coalesce("_known", F.concat(F.lit("paper-"), F.col("_first").cast("string")))
         .alias("paper_id"),
@@ -75,16 +79,27 @@ def register_documents(
         F.when(is_new, title).otherwise("").alias("title"),
         F.when(is_new & (title != ""), "filename.fallback").otherwise("").alias("title_source"),
         F.when(is_new & (title != ""), 0.1).otherwise(0.0).alias("title_confidence"),
+        F.lit("registered").alias("status"),
     )
+    kinds = dict(registered.dtypes)
+    blank = {"is_new": F.lit(False), "reparse": F.lit(False), "title": F.lit(""), "title_source": F.lit(""),
+             "title_confidence": F.lit(0.0), "status": F.lit("rejected")}
+    return registered.unionByName(rejected.select(*[
+        F.col(c) if c in ("file_id", "space_id") else blank.get(c, F.lit(None)).cast(kinds[c]).alias(c)
+        for c in registered.columns
+    ]))
 
 
 def ingest_status(
-    files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_BATCH_FILES
+    files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_files: int | None = None
 ) -> DataFrame:
-    """Outcome of each uploaded file (batch_id, file_id, filename, size)."""
+    """Outcome of each uploaded file (batch_id, file_id, filename, size).
+
+    ``max_files`` is a limit of the upload channel; without it a batch may have any number of files.
+    """
     sizes = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_files"))
     error = (
-        F.when(F.col("_files") > max_files, f"Batch upload accepts at most {max_files} files.")
+        F.when(F.lit(max_files is not None) & (F.col("_files") > (max_files or 0)), f"Batch upload accepts at most {max_files} files.")
         .when(~F.lower("filename").endswith(".pdf"), "Only PDF files are accepted")
         .when(
             F.col("size") > max_bytes,
@@ -98,9 +113,11 @@ def ingest_status(
     )
 
 
-def ingest_report(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def ingest_report(
+    files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_files: int | None = None
+) -> DataFrame:
     """Totals of each upload batch."""
-    return ingest_status(files, max_bytes).groupBy("batch_id").agg(
+    return ingest_status(files, max_bytes, max_files).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "success").alias("succeeded"),
         F.count_if(F.col("status") == "failed").alias("failed"),
