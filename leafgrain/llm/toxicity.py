@@ -164,7 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
     """Learns ``labels.toxic`` from at most ``rows`` labelled documents, never those held out.
 
     The lexicon is learned from all of these; the trees from four fifths of them and the calibration from the rest.
-    Without labels every score is one half.
+    Without labels every score is 0.
     """
     sample = materialize(labelled_sample(docs, labels, "toxic", rows), "toxic-sample")
     lexicon = learn_lexicon(sample)
@@ -178,7 +178,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
     found = parts.mapInArrow(table, "x array<double>, y double, part bigint").toArrow()
     x, y, part = np.array(found.column(0).to_pylist(), float).reshape(-1, len(FEATURES)), found.column(1).to_numpy(), found.column(2).to_numpy()
     trees = fit_trees(x[part != 0], y[part != 0], RISING, trees=60)
-    knots, values = fit_isotonic(sigmoid(trees.margin(x[part == 0])), y[part == 0])
+    rest = part == 0 if (part == 0).any() else part >= 0
+    knots, values = fit_isotonic(sigmoid(trees.margin(x[rest])), y[rest])
     return Model(lexicon, trees, knots, values)
 
 

@@ -108,7 +108,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = No
 def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit (pool adjacent violators), shrunk a little towards one half."""
     if not len(score):
-        return np.array([0.0]), np.array([0.5])
+        return np.array([0.0]), np.array([0.0])
     points, at = np.unique(score, return_inverse=True)
     weight, total = np.bincount(at).astype(float), np.bincount(at, y)
     pools: list[list[float]] = []
