@@ -97,12 +97,16 @@ def collisions(a: np.ndarray, b: np.ndarray, registers: int) -> np.ndarray:
 
 def may_be_similar(equal: np.ndarray, a: np.ndarray, b: np.ndarray, shape: Shape) -> np.ndarray:
     """Whether the corrected estimate and the set sizes leave the threshold within reach."""
-    chance = collisions(a, b, shape.registers)
-    estimate = (equal / shape.registers - chance) / (1 - chance)
     threshold = shape.percent / 100
     small, large = np.minimum(a, b), np.maximum(a, b)
-    error = np.sqrt(threshold * (1 - threshold) / np.minimum(small, shape.registers))
-    return (estimate >= threshold - ERRORS * error) & (100 * small >= shape.percent * large)
+    least = threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.minimum(small, shape.registers))
+    # The correction only lowers an estimate, so it is worked out for what is still in reach without it.
+    ok = (equal / shape.registers >= least) & (100 * small >= shape.percent * large)
+    at = np.flatnonzero(ok)
+    if len(at):
+        chance = collisions(a[at], b[at], shape.registers)
+        ok[at] = (equal[at] / shape.registers - chance) / (1 - chance) >= least[at]
+    return ok
 
 
 def sketch(docs: DataFrame, shape: Shape) -> DataFrame:
