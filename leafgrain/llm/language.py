@@ -15,6 +15,7 @@ from leafgrain.llm.common import held_out, small_batches, texts_of
 
 #: Documents of a language that its dictionary is made of, at most, and the dictionary's size.
 DOCS_A_LANGUAGE, DICTIONARY_BYTES = 400, 192 << 10
+SALTS = 64
 #: A text is compressed in blocks of this many bytes, each against the dictionary alone.
 BLOCK_BYTES, LEVEL = 4096, 3
 #: Two sizes closer than this share of the smaller one are too close to call.
@@ -71,11 +72,12 @@ def learn_dictionaries(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE,
     Documents that are held out or have no language are never taken. Ids are chosen on two columns; only the chosen
     ids are broadcast, and only their texts come to the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
-        .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_a_language)
-    )
+    chosen = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
+    chosen = chosen.withColumn("_h", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    for keys in (["lang", "_salt"], ["lang"]):  # a language may own most rows: first within each salt
+        order = Window.partitionBy(*keys).orderBy("_h", "doc_id")
+        chosen = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_a_language)
+    chosen = chosen.select("doc_id", "lang")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     content: dict[str, list[bytes]] = {}
     for row in texts.select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("lang", "h", "text").toLocalIterator():
