@@ -62,6 +62,10 @@ class WordEncoder:
         self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        steps = spec.get("normalizer") or {}
+        steps = [x["type"] for x in steps.get("normalizers", [steps]) if x and x.get("pattern") != {"Regex": r"\s+"}]
+        # What these steps do to an ASCII chunk without white space: lower its case or nothing.
+        self.lowers = "Lowercase" in steps if set(steps) <= {"NFC", "Lowercase"} else None
         split = spec.get("pre_tokenizer") or {}
         first = split.get("pretokenizers", [split])[0]
         self.chunks = None
@@ -81,7 +85,12 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _ids(self, chunk: str, known: dict[str, bytes]) -> bytes:
-        text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
+        if not self.normalizer:
+            text = chunk
+        elif self.lowers is not None and chunk.isascii():
+            text = chunk.lower() if self.lowers else chunk
+        else:
+            text = self.normalizer.normalize_str(chunk)
         word = text.removeprefix(" ")
         if word.isalpha():
             return self._piece(text)
