@@ -170,17 +170,18 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
 def main_text(page: str) -> str:
     """The article's blocks, one on a line.
 
-    If the page marks an article, its paths are the content. Otherwise the paths are whose score reaches a share of
-    the best path's.
+    The content is the paths whose score reaches a share of the best path's; a block marked as the article needs half of
+    that. Where most of what is found is marked, the other marked blocks (short ones, as a rule) belong to it, too.
     """
     blocks = blocks_of(page)
-    marked = [b for b in blocks if b.content]
-    if not marked and blocks:
-        score = path_scores(blocks)
-        weight = {p: s * sum(len(b.text) for b in blocks if b.path == p) for p, s in score.items()} if len(score) < 50 else score
-        least = THRESHOLD * score[max(weight, key=lambda p: weight[p])]
-        marked = [b for b in blocks if score[b.path] >= least]
-    return "\n".join(b.text for b in marked)
+    if not blocks:
+        return ""
+    score = path_scores(blocks)
+    weight = {p: s * sum(len(b.text) for b in blocks if b.path == p) for p, s in score.items()} if len(score) < 50 else score
+    least = THRESHOLD * score[max(weight, key=lambda p: weight[p])]
+    found = [score[b.path] * (1 + b.content) >= least for b in blocks]
+    marked = sum(len(b.text) * (1 if b.content else -1) for b, f in zip(blocks, found) if f) > 0
+    return "\n".join(b.text for b, f in zip(blocks, found) if f or marked and b.content)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

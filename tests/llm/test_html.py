@@ -44,3 +44,25 @@ def test_given_pages_give_their_articles(spark):
         article = r.html[r.html.index("<article>") + 9:r.html.index("</article>")]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?p>|</?h1>", article)]
         assert main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+def test_given_pages_without_marks_give_their_articles(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert main_text(r.html.replace("<article>", "").replace("</article>", "")) == main_text(r.html)
+
+
+LONG = "This paragraph, number {}, goes on for a while; it says something, and then it stops."
+
+
+@pytest.mark.parametrize("teasers", [1, 3])
+def test_marked_teasers_do_not_replace_the_text(teasers):
+    body = [LONG.format(n) for n in range(12)]
+    cards = "<article class='card'><p>Read this, too.</p></article>" * teasers
+    out = main_text("<div>" + "".join(f"<p>{b}</p>" for b in body) + "</div>" + cards).split("\n")
+    assert out[:12] == body
+
+
+def test_short_blocks_of_a_marked_article_stay():
+    body, items = [LONG.format(n) for n in range(12)], ["tea", "salt", "oil", "rice"]
+    page = "<article>" + "".join(f"<p>{b}</p>" for b in body) + "<ul>" + "".join(f"<li>{i}" for i in items) + "</ul></article><div>Short.</div>"
+    assert main_text(page).split("\n")[:16] == body + items
