@@ -144,8 +144,8 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def path_scores(blocks: list[Block]) -> dict[str, float]:
-    """Smoothed and fused ratio of every tag path.
+def path_scores(blocks: list[Block]) -> tuple[dict[str, float], dict[str, float]]:
+    """(smoothed and fused ratio, length of text) of every tag path.
 
     A path's ratio is the mean length of its blocks outside links, its second ratio their mean punctuation; fused, they
     are a geometric mean, less the share of link text. Each block then takes part of its neighbours' scores, and a path
@@ -164,21 +164,21 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     for i, b in enumerate(blocks):
         near = [(SMOOTH[abs(j - i)], raw[j]) for j in range(max(0, i - 2), min(len(raw), i + 3))]
         score[b.path] += sum(w * r for w, r in near) / sum(w for w, _ in near) / total[b.path][0]
-    return {p: s * (1 - total[p][3] / total[p][1]) for p, s in score.items()}
+    return {p: s * (1 - total[p][3] / total[p][1]) for p, s in score.items()}, {p: t[1] for p, t in total.items()}
 
 
 def main_text(page: str) -> str:
     """The article's blocks, one on a line.
 
-    The content is the paths whose score reaches a share of the best path's; a block marked as the article needs half of
-    that. Where most of what is found is marked, the other marked blocks (short ones, as a rule) belong to it, too.
+    The content is the paths whose score reaches a share of that of the path with most score times text; a block marked
+    as the article needs half of that. Where most of what is found is marked, the other marked blocks (short ones, as a
+    rule) belong to it, too.
     """
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    score = path_scores(blocks)
-    weight = {p: s * sum(len(b.text) for b in blocks if b.path == p) for p, s in score.items()} if len(score) < 50 else score
-    least = THRESHOLD * score[max(weight, key=lambda p: weight[p])]
+    score, chars = path_scores(blocks)
+    least = THRESHOLD * score[max(score, key=lambda p: score[p] * chars[p])]
     found = [score[b.path] * (1 + b.content) >= least for b in blocks]
     marked = sum(len(b.text) * (1 if b.content else -1) for b, f in zip(blocks, found) if f) > 0
     return "\n".join(b.text for b, f in zip(blocks, found) if f or marked and b.content)

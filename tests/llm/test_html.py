@@ -66,3 +66,11 @@ def test_short_blocks_of_a_marked_article_stay():
     body, items = [LONG.format(n) for n in range(12)], ["tea", "salt", "oil", "rice"]
     page = "<article>" + "".join(f"<p>{b}</p>" for b in body) + "<ul>" + "".join(f"<li>{i}" for i in items) + "</ul></article><div>Short.</div>"
     assert main_text(page).split("\n")[:16] == body + items
+
+
+@pytest.mark.parametrize("paths", [3, 60])
+def test_one_long_block_does_not_set_the_bar_on_pages_of_any_size(paths):
+    body = [LONG.format(n) for n in range(60)]
+    rich = "".join(f"<x{n}>item</x{n}>" for n in range(paths))
+    page = "<div>" + "".join(f"<p>{b}</p>" for b in body) + "</div>" + rich + "<blockquote>" + "No one is liable, ever; so it is. " * 20 + "</blockquote>"
+    assert main_text(page).split("\n")[:60] == body
