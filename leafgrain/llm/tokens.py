@@ -48,20 +48,27 @@ class WordEncoder:
     Byte-level files without a normalizer, and files whose splitter drops white space, never merge across a chunk
     (white space and the word after it, or the word alone), nor across a match of their pattern inside it. Each
     distinct chunk goes once through the file's normalizer, pattern and BPE model; its ids then come from a cache of
-    bounded size, of which the half that was not used lately is dropped. Other files are encoded text by text.
+    bounded size, of which the half that was not used lately is dropped. The file's added tokens, such as
+    ``<|endoftext|>``, stand for one id wherever a text spells them; chunks are of what lies between. Other files, and
+    files whose added tokens take in space or stand for normalized text, are encoded text by text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        # Kept with a space at the end, as no chunk and no piece of one is spelled.
+        self.added = {t["content"] + " ": array("I", [t["id"]]).tobytes() for t in added}
+        # The longest of those that start at a place, as the library has it.
+        self.marks = re.compile("(" + "|".join(re.escape(t[:-1]) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        plain = not any(t["normalized"] and spec.get("normalizer") or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
         steps = spec.get("normalizer") or {}
         steps = [x["type"] for x in steps.get("normalizers", [steps]) if x and x.get("pattern") != {"Regex": r"\s+"}]
         # What these steps do to an ASCII chunk without white space: lower its case or nothing.
@@ -69,7 +76,9 @@ class WordEncoder:
         split = spec.get("pre_tokenizer") or {}
         first = split.get("pretokenizers", [split])[0]
         self.chunks = None
-        if first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not spec.get("normalizer"):
+        if not plain:
+            pass
+        elif first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not spec.get("normalizer"):
             self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
             # Fixed value: the pattern of byte-level files, for a chunk with a letter, digit or sign.
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACES + r"\p{L}\p{N}]+|[" + SPACES + "]+")
@@ -85,6 +94,8 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _ids(self, chunk: str, known: dict[str, bytes]) -> bytes:
+        if chunk in self.added:
+            return self.added[chunk]
         if not self.normalizer:
             text = chunk
         elif self.lowers is not None and chunk.isascii():
@@ -100,10 +111,17 @@ class WordEncoder:
         # A piece is a chunk, too, and most are known.
         return b"".join([known.get(p) or self._piece(p) for p in pieces])
 
+    def _chunks(self, text: str) -> list[str]:
+        if not self.marks or not self.marks.search(text):
+            return self.chunks.findall(text)
+        parts = self.marks.split(text)
+        # Every other part is an added token.
+        return [c for i, p in enumerate(parts) for c in ([p + " "] if i % 2 else self.chunks.findall(p))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunks:
             return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
-        parts = [self.chunks.findall(t) for t in texts]
+        parts = [self._chunks(t) for t in texts]
         new: set[str] = set()
         for words in parts:
             new.update(words)

@@ -33,6 +33,14 @@ def test_word_cache_equals_whole_text(path):
     assert ours.encode(texts) == [array("I", whole(t)).tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, LOWERED])
+def test_added_tokens_equal_the_plain_library(path):
+    plain, r = Tokenizer.from_file(path), random.Random(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "  ", "\n", "end", "it's", "É", "漢", "1", "."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(2000)] + ["end<|endoftext|>next", "<|endoftext|>"]
+    assert WordEncoder(path).encode(texts) == [array("I", plain.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
 def test_blocks_do_not_change_ids():
     from leafgrain.llm.tokens import rank_encoder
 
