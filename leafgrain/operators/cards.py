@@ -126,20 +126,27 @@ def cited_support(cards: DataFrame, passages: DataFrame, threshold: float = THRE
 def quoted_anywhere(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) -> DataFrame:
     """Whether each normalized ``quote`` stands in any normalized ``text``.
 
-    A quote meets only the texts that hold the rarest of its inner tokens (the outer two may be parts of words; of a
-    quote of one or two tokens, any). Only tokens that some quote has are counted, and never pairs of all with all.
+    A run of letters and digits of any script with other characters of the quote on both sides is a whole run of every
+    text that holds the quote. So a quote meets only the texts that hold the rarest of its runs; only runs that some
+    quote has are counted. Quotes without such a run (one word, say, or none) are compared with every text, each once.
     """
-    tokens = tx.evidence_tokens(F.col("quote"))
-    inner = F.when(F.size(tokens) > 2, F.slice(tokens, 2, F.size(tokens) - 2)).otherwise(tokens)
-    asked = quotes.select(quote_id, F.explode(F.array_distinct(inner)).alias("token"))
-    held = texts.select(text_id, F.explode(F.array_distinct(tx.evidence_tokens(F.col("text")))).alias("token"))
+    def runs(column: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))
+        return F.filter(F.array_distinct(found), lambda run: ~run.isin(*tx.STOPWORDS))
+
+    keys = runs("quote", r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]++(?=[^\p{L}\p{N}])")
+    asked = quotes.select(quote_id, F.explode(keys).alias("token"))
+    held = texts.select(text_id, F.explode(runs("text", r"[\p{L}\p{N}]++")).alias("token"))
     held = held.join(asked.select("token").distinct(), "token", "left_semi")
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(counts, "token", "left").groupBy(quote_id).agg(
         F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")
     )
     met = rarest.join(held, "token").join(texts, text_id).join(quotes, quote_id)
-    found = met.filter(F.col("text").contains(F.col("quote"))).select(quote_id).distinct()
+    found = met.filter(F.col("text").contains(F.col("quote"))).select(quote_id)
+    short = quotes.filter(F.size(keys) == 0).select("quote").distinct()
+    held_short = texts.select("text").join(short, F.col("text").contains(F.col("quote"))).select("quote").distinct()
+    found = found.unionByName(quotes.join(held_short, "quote").select(quote_id)).distinct()
     return quotes.join(found.withColumn("quoted", F.lit(True)), quote_id, "left").withColumn(
         "quoted", F.coalesce("quoted", F.lit(False))
     )

@@ -113,3 +113,14 @@ def test_replace_keeps_user_cards(spark):
     cards, rows = cd.replace_ai_cards(old, links, new, F.lit("run"), now)
     assert sorted(r["id"] for r in cards.collect()) == ["c2", "c3", "c9"]
     assert [r["card_id"] for r in rows.collect()] == ["c9"]
+
+
+def test_quotes_of_any_script_and_length_are_found(spark):
+    texts = ["a category of its own", "он сказал: привет, мир", "他说你好，世界再见", "of the and", "x'a'b'c d", "see (cat)", "--- *** ---"]
+    asked = ["cat", "привет", "привет, мир", "你好", "你好，世界", "of the", "", "a'b'c d", "(cat)", "***", "gory", "dog", "мир!", "再见你", "f the a"]
+    quotes = spark.createDataFrame(list(enumerate(asked)), "item int, quote string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.item: r.quoted for r in cd.quoted_anywhere(quotes, "item", frame, "doc_id").collect()}
+    assert out == {i: any(q in t for t in texts) for i, q in enumerate(asked)}
+    none = cd.quoted_anywhere(quotes, "item", frame.limit(0), "doc_id")
+    assert none.count() == len(asked) and not none.filter("quoted").count()
