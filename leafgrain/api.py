@@ -11,6 +11,7 @@ from leafgrain.operators import cards as cd
 from leafgrain.operators import listing as ls
 from leafgrain.operators import retrieval as rt
 from leafgrain.sources import tables as tb
+from leafgrain.schemas import CANDIDATE_POOL
 
 CARD_VIEWS = {
     "methods": "Method", "metrics": "Metric", "limitations": "Limitation", "failure_modes": "Failure Mode",
@@ -52,25 +53,31 @@ class Engine:
             "source_passage_ids", F.coalesce(evidence, F.array().cast("array<string>"))
         )
 
-    def search(self, queries: DataFrame, query_vectors: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    def search(
+        self, queries: DataFrame, query_vectors: DataFrame | None = None, limit: int = 20,
+        pool: int | None = CANDIDATE_POOL,
+    ) -> DataFrame:
         """Hybrid (with query vectors) or full-text hits with passage provenance."""
         if query_vectors is None:
             hits = rt.fts_rank(queries, self.postings, self.corpus, limit).withColumn("rank", F.col("fts_rank"))
         else:
             hits = rt.hybrid_search(
                 queries, query_vectors, self.tables["passages"], self.tables["passage_embeddings"],
-                self.postings, self.corpus, limit,
+                self.postings, self.corpus, limit, pool,
             ).join(queries.select("query_id", "space_id"), "query_id")
         return rt.enrich_passages(hits, self.tables["passages"])
 
-    def compare_with_literature(self, queries: DataFrame, query_vectors: DataFrame | None = None) -> DataFrame:
-        hits = self.search(queries, query_vectors, 10).select("query_id", "passage_id")
+    def compare_with_literature(
+        self, queries: DataFrame, query_vectors: DataFrame | None = None, pool: int | None = CANDIDATE_POOL
+    ) -> DataFrame:
+        hits = self.search(queries, query_vectors, 10, pool).select("query_id", "passage_id")
         return rt.compare_with_literature(hits, self.tables["passages"], self.cards)
 
     def evidence_for_claim(
-        self, claims: DataFrame, query_vectors: DataFrame | None = None, limit: int = 10
+        self, claims: DataFrame, query_vectors: DataFrame | None = None, limit: int = 10,
+        pool: int | None = CANDIDATE_POOL,
     ) -> tuple[DataFrame, DataFrame]:
-        return rt.evidence_for_claim(claims, self.search(claims, query_vectors, limit), self.cards, limit)
+        return rt.evidence_for_claim(claims, self.search(claims, query_vectors, limit, pool), self.cards, limit)
 
     def card_view(self, name: str) -> DataFrame:
         """Methods, metrics, limitations or failure modes with titles and sources."""

@@ -22,6 +22,8 @@ from leafgrain.schemas import CANDIDATE_POOL, RRF_K
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 VECTOR_BLOCK = 1024
 QUERY_BLOCK = 256
+#: A rank no row exceeds.
+ALL_ROWS = 2**31 - 1
 
 
 def build_postings(passages: DataFrame) -> DataFrame:
@@ -290,31 +292,33 @@ def spaces_with_vectors(embeddings: DataFrame, passages: DataFrame) -> DataFrame
 
 def hybrid_search(
     queries: DataFrame, query_vectors: DataFrame, passages: DataFrame, embeddings: DataFrame,
-    postings: DataFrame, corpus: DataFrame, limit: int = 50,
+    postings: DataFrame, corpus: DataFrame, limit: int = 50, pool: int | None = CANDIDATE_POOL,
 ) -> DataFrame:
     """Full-text search, re-ranked by vectors where the mode asks for it.
 
-    ``auto`` uses vectors when the space has any. Vectors re-rank the full-text
-    candidates; only a query without candidates searches its whole space. A
-    query with no vector hits returns its plain full-text rows.
+    ``auto`` uses vectors when the space has any. Vectors re-rank the best
+    ``pool`` (at least ``limit``) full-text candidates; only a query without
+    candidates searches its whole space. With ``pool`` None every query ranks
+    its whole space both ways. A query with no vector hits returns its plain
+    full-text rows.
     """
-    pool = max(limit, CANDIDATE_POOL)
+    whole = pool is None
+    pool = ALL_ROWS if whole else max(limit, pool)
     with_vectors = spaces_with_vectors(embeddings, passages).withColumn("_has", F.lit(True))
     modes = queries.join(with_vectors, "space_id", "left").select(
         "query_id",
         ((F.col("mode") == "hybrid") | ((F.col("mode") == "auto") & F.col("_has").isNotNull()))
         .alias("hybrid"),
     )
-    # At most ``pool`` rows a query, read four times below: computed once.
+    # At most ``pool`` rows a query, read several times below: computed once.
     fts = cut_lineage(fts_rank(queries, postings, corpus, pool).join(modes, "query_id"))
     rerank = fts.filter("hybrid").select("query_id", "passage_id")
     inside = vector_rank_candidates(query_vectors, embeddings, rerank, pool)
-    without = (
-        query_vectors.join(modes.filter("hybrid"), "query_id", "left_semi")
-        .join(rerank.select("query_id").distinct(), "query_id", "left_anti")
-    )
+    without = query_vectors.join(modes.filter("hybrid"), "query_id", "left_semi")
+    if not whole:
+        without = without.join(rerank.select("query_id").distinct(), "query_id", "left_anti")
     outside = vector_rank(without, embeddings, passages, pool)
-    semantic = inside.unionByName(outside)
+    semantic = outside if whole else inside.unionByName(outside)
     fused_ids = semantic.select("query_id").distinct()
     fused = reciprocal_rank_fusion(
         fts.join(fused_ids, "query_id", "left_semi"), semantic, limit
