@@ -260,29 +260,32 @@ def metadata_passages(passages: DataFrame, limit: int = METADATA_PASSAGES) -> Da
 
 
 def render_prompt_payload(
-    batches: DataFrame, prepared: DataFrame, repairs: DataFrame | None = None
+    batches: DataFrame, prepared: DataFrame, repairs: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """Context JSON and source lines (JSONL) of each batch; the wording is the caller's.
 
+    Texts are whole unless ``limit`` cuts each to so many characters; ``was_cut`` tells whether it cut any of a batch.
     ``repairs`` (paper_id, space_id, batch_index, diagnostics JSON) adds the rejections
     of a first round.
     """
+    compact = tx.normalize_ws(F.col("text"))
+    text = compact if limit is None else tx.truncate_text(F.col("text"), limit)
+    cut = F.lit(False) if limit is None else F.coalesce(F.length(compact) > limit, F.lit(False))
     line = F.to_json(F.struct(
-        F.col("id").alias("source_id"), "page_number", "section", "heading_path",
-        tx.truncate_text(F.col("text")).alias("text"),
+        F.col("id").alias("source_id"), "page_number", "section", "heading_path", text.alias("text"),
     ))
     members = batches.select(*KEYS, "batch_index", F.posexplode("members").alias("n", "m")).select(
         *KEYS, "batch_index", "n", "m.id", "m.fragment_index"
     )
     lines = (
-        members.join(prepared.select(*KEYS, "id", "fragment_index", line.alias("line")), [*KEYS, "id", "fragment_index"])
+        members.join(prepared.select(*KEYS, "id", "fragment_index", line.alias("line"), cut.alias("cut")), [*KEYS, "id", "fragment_index"])
         .groupBy(*KEYS, "batch_index")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"), F.bool_or("cut").alias("was_cut"))
     )
     context = F.to_json(F.struct("paper_id", "space_id", "batch_index", "source_passage_ids"))
     out = batches.join(lines, [*KEYS, "batch_index"]).select(
         *KEYS, "batch_index", F.concat(F.lit("Context: "), context).alias("context"),
-        F.array_join("lines.line", "\n").alias("sources"),
+        F.array_join("lines.line", "\n").alias("sources"), "was_cut",
     )
     if repairs is None:
         return out

@@ -356,7 +356,8 @@ def metadata_passages(c: Corpus):
 )
 def render_prompt_payload(c: Corpus):
     prepared, batches = batch_parts(c)
-    return an.render_prompt_payload(batches, prepared).select(
+    # The reference's cut, as in the twin; the operator itself cuts nothing unless asked.
+    return an.render_prompt_payload(batches, prepared, limit=tx.PAYLOAD_CHARS).select(
         "paper_id", "batch_index", "context", "sources"
     )
 

@@ -124,3 +124,23 @@ def test_quotes_of_any_script_and_length_are_found(spark):
     assert out == {i: any(q in t for t in texts) for i, q in enumerate(asked)}
     none = cd.quoted_anywhere(quotes, "item", frame.limit(0), "doc_id")
     assert none.count() == len(asked) and not none.filter("quoted").count()
+
+
+def test_prompt_payloads_are_whole_unless_limited(spark):
+    import json
+
+    from leafgrain.operators import analysis as an
+
+    text = "word " * 1999 + "end"
+    prepared = spark.createDataFrame(
+        [("q1", "p", "s", 0, 1, "Sec", ["Sec"], text), ("q2", "p", "s", 0, 1, "Sec", ["Sec"], "short")],
+        "id string, paper_id string, space_id string, fragment_index int, page_number int, section string, heading_path array<string>, text string",
+    )
+    batches = spark.createDataFrame(
+        [("p", "s", 0, ["q1"], [("q1", 0)]), ("p", "s", 1, ["q2"], [("q2", 0)])],
+        "paper_id string, space_id string, batch_index int, source_passage_ids array<string>, members array<struct<id: string, fragment_index: int>>",
+    )
+    for limit, first in ((None, text), (3000, text[:3000].rstrip() + "... [truncated]")):
+        rows = {r.batch_index: r for r in an.render_prompt_payload(batches, prepared, limit=limit).collect()}
+        assert json.loads(rows[0].sources)["text"] == first and json.loads(rows[1].sources)["text"] == "short"
+        assert (rows[0].was_cut, rows[1].was_cut) == (limit is not None, False)
