@@ -46,10 +46,14 @@ class Tokens:
     def __init__(self, column: pa.Array):
         self.raw = Words(column)
         self.words = words = Words(column, lower=True)
-        self.starts, self.ends = words.starts.copy(), words.ends.copy()
-        for _ in range(4):
-            self.starts += (self.ends - self.starts > 1) & PUNCTUATION[words.data[self.starts]]
-            self.ends -= (self.ends - self.starts > 1) & PUNCTUATION[words.data[self.ends - 1]]
+        # Of a word that is all punctuation the middle stays.
+        place, marks = np.arange(len(words.data)), PUNCTUATION[words.data]
+        after = np.minimum.accumulate(np.where(marks, len(marks), place)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(marks, -1, place))
+        middle = (words.starts + words.ends) // 2
+        bare = after[words.starts] >= words.ends
+        self.starts = np.where(bare, middle, after[words.starts])
+        self.ends = np.where(bare, middle, before[words.ends - 1]) + 1
         self.length = self.ends - self.starts
         self.hashes = words.hashes(self.starts, self.ends)
         self.lead = words.eight(self.starts)
@@ -87,13 +91,14 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     np.cumsum(LETTER[words.data], out=letters[1:])
     mixed = (odd[tokens.ends] > odd[tokens.starts]) & (letters[tokens.ends] - letters[tokens.starts] >= 2)
     disguised = np.zeros(len(word), bool)
-    at = np.flatnonzero(mixed & (tokens.length <= 24))
+    at = np.flatnonzero(mixed)
     if len(at):
         data = words.data.tobytes()
-        some = [data[a:b].decode("utf-8", "replace") for a, b in zip(tokens.starts[at], tokens.ends[at])]
+        _, first, same = np.unique(tokens.hashes[at], return_index=True, return_inverse=True)
+        some = [data[a:b].decode("utf-8", "replace") for a, b in zip(tokens.starts[at[first]], tokens.ends[at[first]])]
         for letters in DISGUISES:
             plain = ["".join(c for c in w.translate(letters) if c.isalpha()) or "-" for w in some]
-            disguised[at] |= np.isin(Words(pa.array(plain)).hashes(), np.union1d(lexicon.words, lexicon.seed))
+            disguised[at] |= np.isin(Words(pa.array(plain)).hashes(), np.union1d(lexicon.words, lexicon.seed))[same]
     hit = word | seed | stem | disguised
     # Hits with a second-person word of the same text within a few words.
     near = np.zeros(len(hit), bool)

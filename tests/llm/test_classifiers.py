@@ -129,3 +129,19 @@ def test_held_out_rows_are_not_learned_from(spark):
     held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2}
     changed = docs.selectExpr("doc_id", f"if(doc_id in ({','.join(map(str, held))}), 'nothing else', text) as text", "lang", "source", "n_chars")
     assert language.learn_dictionaries(docs).content == language.learn_dictionaries(changed).content
+
+
+def test_any_punctuation_is_stripped_and_long_disguises_are_spelled_back():
+    import numpy as np
+    import pyarrow as pa
+
+    from leafgrain.llm import toxicity as tox
+
+    none = np.array([], np.uint64)
+    lexicon = tox.Lexicon(tox.spelled(["incomprehensible"]), none, tox.spelled(["idiot"]), tox.spelled(["you"]))
+    texts = ["idiot!!!!!", "(((((((idiot", "?" * 1001 + "idiot" + "!" * 1000, "i-n-c-o-m-p-r-e-h-e-n-s-i-b-l-e", "id.i0t.id", "!!!!!", "", "----- a"]
+    x = tox.features(pa.array(texts), lexicon)
+    seed, disguised = (x[:, tox.FEATURES.index(n)] > 0 for n in ("seed_density", "disguised_density"))
+    assert seed.tolist() == [True, True, True, False, False, False, False, False]
+    assert disguised.tolist() == [False, False, False, True, False, False, False, False]
+    assert tox.Tokens(pa.array(["!!!!!!!!!!!!"])).length.tolist() == [1]
