@@ -13,6 +13,7 @@ from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import Corpus
 from leafgrain.plans.element_queries import FLAT
 from leafgrain.plans.registry import query, setup
+from leafgrain.schemas import MAX_TOKENS
 
 @setup
 def columns() -> None:
@@ -24,15 +25,15 @@ def headed(c: Corpus):
     return ly.flat_heading_path(c.elements)
 
 
-def tables_of(c: Corpus):
-    """Every second table element owns a stored table: its words, six to a row."""
+def tables_of(c: Corpus, every: bool = False):
+    """Every second (or every) table element owns a stored table: its words, six to a row."""
     index = F.col("element_index")
     words = F.split("text", " ")
     rows = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 6).cast("int")),
         lambda r: F.slice(words, r * 6 + 1, F.lit(6)),
     )
-    return c.elements.filter((F.col("element_type") == "table") & (index % 2 == 0)).select(
+    return c.elements.filter((F.col("element_type") == "table") & (F.lit(every) | (index % 2 == 0))).select(
         F.concat(F.lit("t-"), "id").alias("id"), "paper_id", "space_id", F.col("id").alias("element_id"),
         "page_number", F.concat(F.lit("Table "), index).alias("caption"), rows.alias("cells"),
         F.lit(1).alias("header_rows"), NO_BOX.alias("bbox"),
@@ -153,8 +154,8 @@ def table_passages(c: Corpus):
 
 @query("split_table_rows")
 def split_table_rows(c: Corpus):
-    """All stored tables packed to 60 tokens; equality with brute force is in the tests."""
-    rows = ck.table_passages(headed(c), tables_of(c), 60)
+    """Every table element as a stored table, packed; equality with brute force is in the tests."""
+    rows = ck.table_passages(headed(c), tables_of(c, every=True), MAX_TOKENS)
     return rows.filter("table_id <> ''").select("table_id", F.posexplode("pieces").alias("n", "piece")).select(
         "table_id", "n", "piece.row_start", "piece.row_end", F.length("piece.text").alias("chars")
     )
@@ -162,13 +163,13 @@ def split_table_rows(c: Corpus):
 
 @query("split_single_row")
 def split_single_row(c: Corpus):
-    """Tables of one long row: every document's first line under a short header."""
+    """Tables of one long row: every line of every document under a short header."""
     cells = F.array(F.array(F.lit("System"), F.lit("Recall")), F.array(tx.normalize_ws(F.col("line")), F.lit("x")))
-    rows = c.lines.filter("pos = 0").select(
-        "doc_id", sp.table_pieces(F.lit("Cap"), cells, F.lit(1), 24).alias("pieces")
+    rows = c.lines.select(
+        "doc_id", "pos", sp.table_pieces(F.lit("Cap"), cells, F.lit(1), MAX_TOKENS).alias("pieces")
     )
-    return rows.select("doc_id", F.posexplode("pieces").alias("n", "piece")).select(
-        "doc_id", "n", "piece.split_index", "piece.split_count", "piece.text"
+    return rows.select("doc_id", "pos", F.posexplode("pieces").alias("n", "piece")).select(
+        "doc_id", "pos", "n", "piece.split_index", "piece.split_count", "piece.text"
     )
 
 

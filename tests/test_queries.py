@@ -42,3 +42,12 @@ def test_query_matches_sql(spark, db, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_single_rows_are_of_every_line(spark):
+    from leafgrain.plans.corpus import Corpus
+
+    out = entry.queries()["split_single_row"](spark, ROOT)
+    lines = Corpus(spark, ROOT).lines.select("doc_id", "pos")
+    assert out.columns[:2] == ["doc_id", "pos"]
+    assert out.select("doc_id", "pos").distinct().count() == lines.distinct().count()
