@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafgrain.llm import byte_bpe, html_text, language, line_dedup, near_dup, near_vectors, packing, quality, token_files, toxicity
+from leafgrain.llm import (
+    alignment, byte_bpe, html_text, language, line_dedup, merkle, near_dup, near_vectors, packing, quality, token_files, toxicity, url_filter,
+)
 from leafgrain.llm.common import fresh_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +68,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.one_in_three(F.col("doc_id")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+#: The rules of the query: verdict, host, path.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -76,5 +97,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_vectors": op9_near_vectors,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
+    "op13_urls": op13_urls,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op11_merkle": merkle.SQL}

@@ -16,6 +16,8 @@ CACHE_WORDS = 300_000
 LONG_WORD = 256
 #: Texts above this many characters are encoded in blocks.
 BLOCK_CHARS = 1 << 20
+#: Fixed value: the pattern of byte-level files.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE_CUT = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 
 
@@ -42,6 +44,43 @@ def byte_letters() -> dict[int, int]:
     return dict(zip(hidden, range(256, 256 + len(hidden))))
 
 
+class ByteLevelEncoder:
+    """ids of a byte-level ``tokenizers`` file through the merge loop of the tiktoken library.
+
+    That loop joins the adjacent pair of least rank, which is the file's own order if each merge makes the next id
+    after the 256 bytes; a file of another kind raises. No string stands for a special token here.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        first = min(map(model["vocab"].__getitem__, (a + b for a, b in merges)), default=0)
+        if (split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or spec.get("normalizer")
+                or model["type"] != "BPE" or any(model["vocab"][a + b] != first + i for i, (a, b) in enumerate(merges))):
+            raise ValueError(f"{path} is not a plain byte-level vocabulary")
+        letters = {chr(c): b for b, c in byte_letters().items()}
+        special = {t["content"] for t in spec.get("added_tokens") or []}
+        self.ranks = {bytes(letters.get(c, ord(c) & 255) for c in t): i for t, i in model["vocab"].items() if t not in special}
+        self.size = 1 + max(model["vocab"].values())
+        self.core = tiktoken.Encoding("local", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id; none for special ones."""
+        out = [b""] * self.size
+        for data, i in self.ranks.items():
+            out[i] = data
+        return out
+
+    def ids(self, text: str) -> list[int]:
+        if len(text) <= BLOCK_CHARS:
+            return self.core.encode_ordinary(text)
+        return [i for block in blocks(text) for i in self.core.encode_ordinary(block)]
+
+
 class WordEncoder:
     """ids of a ``tokenizers`` file as little-endian unsigned 32-bit bytes.
 
@@ -158,6 +197,11 @@ class RankEncoder:
         return self.encoding.decode_bytes(ids)
 
 
+@lru_cache(maxsize=4)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    return ByteLevelEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
