@@ -16,6 +16,8 @@ from leafgrain.llm.tokens import word_encoder
 
 CAPACITY = 2048
 END_ID = 1
+#: Open windows of a task, at most: 16 MB of ids.
+OPEN_WINDOWS = 2048
 #: A piece inside a window: row of the document, first id, its ids as little-endian 32-bit bytes.
 Piece = tuple[int, int, bytes]
 
@@ -25,11 +27,12 @@ class LevelPacker:
 
     ``levels[h]`` counts the open windows filled to ``h``. A piece of size ``s`` goes to the level (0: a new window)
     for which the sum of the squared counts grows least; of equals, to the fullest. Open windows are kept by level, so
-    memory is the open windows' ids only, which the rule itself keeps few.
+    memory is their ids only. Sizes of which no two fit together would leave a window open for each piece: at ``most``
+    open windows all are joined by cutting, which leaves one.
     """
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, most: int = OPEN_WINDOWS):
+        self.capacity, self.most, self.held = capacity, most, 0
         self.levels = np.zeros(capacity + 1, np.int64)
         self.open: list[list[list[Piece]]] = [[] for _ in range(capacity)]
 
@@ -50,16 +53,34 @@ class LevelPacker:
         level = self.level_for(size)
         window = self.open[level].pop() if level else []
         self.levels[level] -= bool(level)
+        self.held -= bool(level)
         window.append(piece)
         if level + size == self.capacity:
             return window
-        self.open[level + size].append(window)
-        self.levels[level + size] += 1
+        self.keep(window, level + size)
         return None
 
+    def keep(self, window: list[Piece], level: int) -> None:
+        self.open[level].append(window)
+        self.levels[level] += 1
+        self.held += 1
+
+    def relieve(self) -> Iterator[list[Piece]]:
+        """The full windows that joining gives once ``most`` are open; a partial one stays open."""
+        if self.held < self.most:
+            return
+        for window in self.close():
+            size = sum(len(p[2]) for p in window) // 4
+            if size == self.capacity:
+                yield window
+            else:
+                self.keep(window, size)
+
     def close(self) -> Iterator[list[Piece]]:
         """Fills the fullest open windows from the emptiest, cutting pieces; at most one stays partial."""
         left = [w for level in self.open for w in level]
+        self.levels[:] = 0
+        self.open, self.held = [[] for _ in range(self.capacity)], 0
         first, last = 0, len(left) - 1
         while last >= first:
             window = left[last]
@@ -126,6 +147,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 for at in range(0, len(ids), step):
                     if done := packer.place((made, at // 4, ids[at:at + step])):
                         emit(done)
+                    for done in packer.relieve():
+                        emit(done)
                 made += 1
             if rows:
                 yield flush()

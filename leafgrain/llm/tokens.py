@@ -84,12 +84,12 @@ class ByteLevelEncoder:
 class WordEncoder:
     """ids of a ``tokenizers`` file as little-endian unsigned 32-bit bytes.
 
-    Byte-level files without a normalizer, and files whose splitter drops white space, never merge across a chunk
-    (white space and the word after it, or the word alone), nor across a match of their pattern inside it. Each
-    distinct chunk goes once through the file's normalizer, pattern and BPE model; its ids then come from a cache of
-    bounded size, of which the half that was not used lately is dropped. The file's added tokens, such as
-    ``<|endoftext|>``, stand for one id wherever a text spells them; chunks are of what lies between. Other files, and
-    files whose added tokens take in space or stand for normalized text, are encoded text by text.
+    Byte-level files go through ``ByteLevelEncoder``. Files whose splitter drops white space never merge across a
+    chunk between white space, nor across a match of their pattern inside it: each distinct chunk goes once through the
+    file's normalizer, pattern and BPE model; its ids then come from a cache of bounded size, of which the half that
+    was not used lately is dropped. The file's added tokens, such as ``<|endoftext|>``, stand for one id wherever a
+    text spells them; only what lies between is encoded. Other files, and files whose added tokens take in space or
+    stand for normalized text, are encoded text by text.
     """
 
     def __init__(self, path: str):
@@ -114,13 +114,14 @@ class WordEncoder:
         self.lowers = "Lowercase" in steps if set(steps) <= {"NFC", "Lowercase"} else None
         split = spec.get("pre_tokenizer") or {}
         first = split.get("pretokenizers", [split])[0]
-        self.chunks = None
+        self.chunks = self.whole = None
         if not plain:
             pass
-        elif first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not spec.get("normalizer"):
-            self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-            # Fixed value: the pattern of byte-level files, for a chunk with a letter, digit or sign.
-            self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACES + r"\p{L}\p{N}]+|[" + SPACES + "]+")
+        elif first.get("type") == "ByteLevel":
+            try:
+                self.whole = byte_level_encoder(path)
+            except ValueError:  # merges in an order of their own: the library itself
+                pass
         elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
             self.chunks = re.compile(f"[^{SPACES}]+")
             self.pieces = regex.compile(first["pattern"]["Regex"].replace(r"\s", SPACES))
@@ -157,7 +158,16 @@ class WordEncoder:
         # Every other part is an added token.
         return [c for i, p in enumerate(parts) for c in ([p + " "] if i % 2 else self.chunks.findall(p))]
 
+    def _whole(self, text: str) -> bytes:
+        """A text through the byte-level encoder, its added tokens apart."""
+        if not self.marks or not self.marks.search(text):
+            return array("I", self.whole.ids(text)).tobytes()
+        parts = self.marks.split(text)
+        return b"".join(self.added[p + " "] if i % 2 else array("I", self.whole.ids(p)).tobytes() for i, p in enumerate(parts))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return list(map(self._whole, texts))
         if not self.chunks:
             return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
         parts = [self._chunks(t) for t in texts]

@@ -133,3 +133,28 @@ def test_empty_tables(spark):
     folder = fresh_folder(spark, "test-tokens")
     assert token_files.write_token_files(none, folder, LOWERED).count() == 0
     assert token_files.read_token_files(spark, folder).count() == 0
+
+
+def test_open_windows_are_bounded():
+    r, packer = random.Random(5), packing.LevelPacker(2048, most=100)
+    sizes, done, most = [r.randrange(1100, 2000) for _ in range(3000)], [], 0
+    for row, size in enumerate(sizes):
+        piece = (row, 0, np.full(size, row, "<u4").tobytes())
+        done += [w for w in [packer.place(piece)] if w]
+        done += packer.relieve()
+        most = max(most, packer.held)
+    assert most <= 100 and all(sum(len(p[2]) for p in w) == 4 * 2048 for w in done)
+    done += packer.close()
+    held = Counter()
+    for window in done:
+        for row, _, ids in window:
+            assert set(np.frombuffer(ids, "<u4")) == {row}
+            held[row] += len(ids) // 4
+    assert [held[i] for i in range(len(sizes))] == sizes and len(done) == -(-sum(sizes) // 2048)
+
+
+def test_byte_level_encoder_refuses_other_files():
+    from leafgrain.llm.tokens import ByteLevelEncoder
+
+    with pytest.raises(ValueError):
+        ByteLevelEncoder(LOWERED)
