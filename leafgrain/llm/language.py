@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ BLOCK_BYTES, LEVEL = 4096, 3
 NARROW, NARROW_BYTES = 0.01, 2
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:
@@ -29,20 +31,16 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
-def once(words: str) -> str:
-    """Each word once, in order: a word said a thousand times tells no more about the language than said once."""
-    return " ".join(dict.fromkeys(words.split(" ")))
-
-
 @dataclass
 class Dictionaries:
     """Language -> bytes of text in it. Compressors are made once in each worker."""
 
     content: dict[str, bytes]
     _made: list = field(default_factory=list, repr=False)
+    _words: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {"content": self.content, "_made": []}
+        return {"content": self.content, "_made": [], "_words": []}
 
     def compressors(self) -> list:
         import zstandard as z
@@ -55,9 +53,11 @@ class Dictionaries:
         return self._made
 
     def known_words(self, text: str) -> np.ndarray:
-        """How many of the words each language's text holds."""
-        words = [f" {w} ".encode() for w in text.split(" ")]
-        return np.array([sum(w in data for w in words) for _, data in sorted(self.content.items())])
+        """How many of the text's distinct words each language's dictionary holds."""
+        if not self._words:
+            self._words.extend(set(data.split(b" ")) for _, data in sorted(self.content.items()))
+        words = {w.encode() for w in text.split(" ")}
+        return np.array([len(words & known) for known in self._words])
 
     def sizes(self, text: str) -> np.ndarray:
         """Compressed bytes of the whole text with each dictionary, languages in order."""
@@ -69,17 +69,18 @@ class Dictionaries:
 def learn_dictionaries(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, size: int = DICTIONARY_BYTES) -> Dictionaries:
     """Takes the documents with the smallest hash of their id, ``docs_a_language`` of each language at most.
 
-    Documents that are held out or have no language are never taken. Ids are chosen on two columns; only the chosen
-    ids are broadcast, and only their texts come to the driver.
+    Documents that are held out or have no language are never taken; of rows with equal id and language, the least
+    text is. Ids are chosen on two columns; only the chosen ids are broadcast, and only their texts come to the driver.
     """
     chosen = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
     chosen = chosen.withColumn("_h", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
     for keys in (["lang", "_salt"], ["lang"]):  # a language may own most rows: first within each salt
         order = Window.partitionBy(*keys).orderBy("_h", "doc_id")
         chosen = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_a_language)
-    chosen = chosen.select("doc_id", "lang")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    chosen = chosen.select("doc_id", "lang").distinct()
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").isNotNull())
     content: dict[str, list[bytes]] = {}
+    texts = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     for row in texts.select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("lang", "h", "text").toLocalIterator():
         parts = content.setdefault(row.lang, [])
         if sum(map(len, parts)) < size:
@@ -90,7 +91,7 @@ def learn_dictionaries(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE,
 def predict_language(docs: DataFrame, known: Dictionaries, narrow: float = NARROW) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of whole texts, in one pass without a shuffle.
 
-    ``lang_pred`` is the language whose dictionary compresses the text's distinct words best, and ``und`` for a null
+    ``lang_pred`` is the language whose dictionary compresses the whole text's words best, and ``und`` for a null
     text, a text without a letter, or no known language. A margin to the second under ``narrow`` of the size (or under
     ``NARROW_BYTES``) is ``rejected``: among the languages that close, the one that holds most of the words is named, of
     equals the smallest, then the first by name. ``score`` is the margin as a chance between 0 and 1. Repeated rows and
@@ -100,9 +101,8 @@ def predict_language(docs: DataFrame, known: Dictionaries, narrow: float = NARRO
 
     def judge(text: str) -> tuple[str, float, bool]:
         words = letters(text)
-        if not words or not len(names):
+        if not LETTER.search(words) or not len(names):
             return UNKNOWN, 0.0, True
-        words = once(words)
         sizes = known.sizes(words)
         best = int(sizes.argmin())
         close = np.flatnonzero(sizes - sizes[best] < max(narrow * sizes[best], NARROW_BYTES))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,12 @@ class Quantizer:
     cuts: list[int]
     words: list[np.ndarray]
 
+    @classmethod
+    def plain(cls, width: int) -> Quantizer:
+        """For lengths that no sampled vector has: one list and codes that rule nothing out, so all is reranked exactly."""
+        cuts = np.linspace(0, width, min(SUBSPACES, width) + 1).astype(int).tolist()
+        return cls(np.zeros((1, width)), cuts, [np.zeros((1, b - a)) for a, b in zip(cuts, cuts[1:])])
+
     @classmethod
     def fit(cls, units: np.ndarray, lists: int = LISTS, subspaces: int = SUBSPACES) -> Quantizer:
         centres = k_means(units, max(1, min(lists, len(units) // 8)))
@@ -79,16 +86,17 @@ class Quantizer:
         return np.sqrt(total)
 
 
-def usable(column: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, vectors in double precision) that are not null or zero, hold no null or non-finite value, and have ``width``."""
-    rows, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and (width is None or len(v) == width) and None not in v:
-            x = np.array(v, float)
-            if np.isfinite(x).all() and x.any():
-                rows.append(i)
-                out.append(x)
-    return np.array(rows, np.int64), np.array(out, float).reshape(len(out), -1) if out else np.zeros((0, width or 0))
+def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, starts, ends, components in double precision) of the vectors that are not null or zero and hold no null or
+    non-finite value."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float)  # null becomes not a number
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    upto = lambda marks: np.concatenate([[0], np.cumsum(marks)])
+    bad, other = upto(~np.isfinite(flat)), upto(flat != 0)
+    rows = np.flatnonzero((sizes > 0) & (bad[ends] == bad[starts]) & (other[ends] > other[starts]))
+    return rows, starts[rows], ends[rows], flat
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -96,17 +104,21 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def fit_quantizer(vectors: DataFrame, rows: int = FIT_VECTORS) -> tuple[Quantizer, int] | None:
-    """The quantizer and the commonest length of the sampled vectors; None without any."""
-    chosen = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
-    sample = vectors.join(F.broadcast(chosen), "vec_id", "left_semi").select("vec_id", "embedding").toArrow().sort_by("vec_id")
-    column = sample.column("embedding").combine_chunks()
-    lengths = [len(v) for v in column.to_pylist() if v]
-    if not lengths:
-        return None
-    width = int(np.bincount(lengths).argmax())
-    found = usable(column, width)[1]
-    return (Quantizer.fit(unit(found)), width) if len(found) else None
+def fit_quantizer(vectors: DataFrame, rows: int = FIT_VECTORS) -> dict[int, Quantizer]:
+    """A quantizer for each length among the sampled vectors: at most ``rows`` of them, one for each vec_id.
+
+    The number of lists grows with the root of the table, as far as the sample carries it.
+    """
+    known = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
+    chosen = known.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
+    sample = vectors.join(F.broadcast(chosen), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow().sort_by("vec_id")
+    lists = max(LISTS, int(vectors.count() ** 0.5))
+    by_length: dict[int, list[np.ndarray]] = {}
+    for chunk in sample.column("embedding").chunks:
+        _, starts, ends, flat = usable(chunk)
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            by_length.setdefault(b - a, []).append(flat[a:b])
+    return {width: Quantizer.fit(unit(np.array(found)), lists) for width, found in sorted(by_length.items())}
 
 
 def compare_blocks(quantizer: Quantizer, cosine: float, centre: int, ask: dict, base: dict) -> pa.Table:
@@ -134,42 +146,42 @@ def compare_blocks(quantizer: Quantizer, cosine: float, centre: int, ask: dict,
         "root": np.concatenate([left[a], right[b]])})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, quantizer: tuple[Quantizer, int] | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, quantizers: dict[int, Quantizer] | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
-    Vectors are compared when their labels are equal and not null. Equal vectors of a label are one class with a
+    Vectors are compared when their labels are equal and not null, and their lengths are; each length has a quantizer of
+    its own. Equal vectors of a label are one class with a
     weight. A class lies in the list of its nearest centre and asks every list that may hold a neighbour. Lists are cut
     into blocks of about ``BLOCK``, so a hot label or list gives more tasks, not larger ones; a task emits counts and
     stars, never its pairs. Looked-up distances less each code's own error never exceed true ones, so nothing is lost
     before the exact rerank in double precision.
 
-    Null, zero, non-finite or null-holding vectors, those of another length than most, and null labels link with
-    nothing. ``component_id`` is the least vec_id of a component; a null vec_id never is unless there is no other.
+    Null, zero, non-finite or null-holding vectors and null labels link with nothing. ``component_id`` is the least vec_id of a component; a null vec_id never is unless there is no other.
     Repeated rows are rows of their own. An empty table gives no rows; other columns are not read.
     """
     vectors = vectors.select("vec_id", "embedding", "label")
-    quantizer = quantizer or fit_quantizer(vectors)
-    if quantizer is None:
-        return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    coder, width = quantizer
+    coders = fit_quantizer(vectors) if quantizers is None else quantizers
+    coder = lambda width: coders.get(width) or Quantizer.plain(width)
     reach = float(np.sqrt(2 - 2 * cosine))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = usable(batch.column(1), width)
             data: list[bytes | None] = [None] * batch.num_rows
-            for i, x in zip(rows.tolist(), found):
-                data[i] = x.tobytes()
+            rows, starts, ends, flat = usable(batch.column(1))
+            for i, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist()):
+                data[i] = flat[a:b].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], ["vec_id", "label", "data"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            home, codes, error, probes = coder.encode(unit(np.frombuffer(b"".join(batch.column("data").to_pylist())).reshape(-1, width)), reach)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
-                [*batch.schema.names, "home", "codes", "error", "probes"])
+            widths = pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False) // 8
+            for width in np.unique(widths).tolist():
+                some = batch.filter(pa.array(widths == width))
+                home, codes, error, probes = coder(width).encode(unit(np.frombuffer(b"".join(some.column("data").to_pylist())).reshape(-1, width)), reach)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array([width] * len(home), pa.int32()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()),
+                     pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
+                    [*some.schema.names, "width", "home", "codes", "error", "probes"])
 
     def side(table: pa.Table, s: str) -> dict:
         read = lambda c, kind: np.frombuffer(b"".join(table.column(c + s).to_pylist()), kind).reshape(table.num_rows, -1)
@@ -179,24 +191,24 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, quantizer: tuple[Quan
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("v", "hits", "root")})
-        return compare_blocks(coder, cosine, left.column("cell0")[0].as_py(), side(left, "0"), side(right, "1"))
+        return compare_blocks(coder(left.column("width0")[0].as_py()), cosine, left.column("cell0")[0].as_py(), side(left, "0"), side(right, "1"))
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     data = materialize(vectors.mapInArrow(raw, f"vec_id {kinds['vec_id']}, label {kinds['label']}, data binary"), "vectors")
     classes = data.where(F.col("label").isNotNull() & F.col("data").isNotNull()).groupBy("label", "data").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = classes.withColumn("cls", F.monotonically_increasing_id())
-    coded = classes.mapInArrow(encode, ", ".join(f"{n} {t}" for n, t in classes.dtypes) + ", home int, codes binary, error double, probes array<int>")
+    coded = classes.mapInArrow(encode, ", ".join(f"{n} {t}" for n, t in classes.dtypes) + ", width int, home int, codes binary, error double, probes array<int>")
     classes = materialize(coded, "classes")
     asked = classes.withColumn("cell", F.explode("probes"))
-    blocks = lambda df: df.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    blocks = lambda df: df.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     base = classes.withColumn("cell", F.col("home"))
-    cells = blocks(base).withColumnRenamed("n", "bases").join(blocks(asked).withColumnRenamed("n", "asks"), ["label", "cell"])
+    cells = blocks(base).withColumnRenamed("n", "bases").join(blocks(asked).withColumnRenamed("n", "asks"), ["label", "width", "cell"])
     place = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = asked.join(cells, ["label", "cell"]).withColumn("i", place("asks")).withColumn("j", every("bases"))
-    base = base.join(cells, ["label", "cell"]).withColumn("j", place("bases")).withColumn("i", every("asks"))
-    names = ("label", "cell", "i", "j", "cls", "data", "codes", "error", "weight")  # a cogroup needs columns of its own on either side
-    sides = [t.select(*(F.col(c).alias(f"{c}{s}") for c in names)).groupBy(*(f"{c}{s}" for c in names[:4])) for s, t in enumerate((asked, base))]
+    asked = asked.join(cells, ["label", "width", "cell"]).withColumn("i", place("asks")).withColumn("j", every("bases"))
+    base = base.join(cells, ["label", "width", "cell"]).withColumn("j", place("bases")).withColumn("i", every("asks"))
+    names = ("label", "width", "cell", "i", "j", "cls", "data", "codes", "error", "weight")  # a cogroup needs columns of its own on either side
+    sides = [t.select(*(F.col(c).alias(f"{c}{s}") for c in names)).groupBy(*(f"{c}{s}" for c in names[:5])) for s, t in enumerate((asked, base))]
     found = materialize(sides[0].cogroup(sides[1]).applyInArrow(compare, "v bigint, hits bigint, root bigint"), "found")
     roots = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     hits = found.groupBy("v").agg(F.sum("hits").alias("hits"))

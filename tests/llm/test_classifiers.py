@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from frames import DOCS, awkward_docs, prose
 
 from leafgrain.llm import language, quality, toxicity
@@ -107,7 +108,9 @@ def test_awkward_rows(spark):
     docs, rows = awkward_docs(spark)
     known = language.Dictionaries({"aa": b"abc def " * 50, "bb": b"word und " * 50})
     out = language.predict_language(docs, known).toPandas()
-    letters = [bool(re.search(r"[^\W\d_]", t or "")) for _, t in rows]
+    letters = [bool(regex.search(r"\p{L}", t or "")) for _, t in rows]
+    unlettered = spark.createDataFrame([(1, "²½"), (2, "١٢ ½_"), (3, "Ⅷ 12"), (4, "\u0301 \u0300"), (5, "🙂 !")], "doc_id int, text string")
+    assert {r.lang_pred for r in language.predict_language(unlettered, known).collect()} == {"und"}
     assert (out.lang_pred == "und").sum() == letters.count(False) and set(out.lang_pred) <= {"aa", "bb", "und"}
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], LABELS)

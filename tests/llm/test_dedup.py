@@ -191,3 +191,13 @@ def test_probes_reach_every_neighbour():
         d = coder.table_distances(x[at], c, codes[at])
         true = np.sqrt(((x[at][:, None] - y[at]) ** 2).sum(2))
         assert (d - error[at] <= true + 1e-6).all()
+
+
+def test_every_length_is_compared(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.standard_normal(4).astype("float32").tolist(), 1) for i in range(30)]
+    rows += [(40, [1.0, 2.0], 1), (41, [1.0, 2.0], 1), (42, [1.0, 2.001], 1), (43, [1.0, 2.0, 0.0], 1), (44, [3.0], 1), (45, [5.0], 1), (46, [-5.0], 1), (47, [1.0, 2.0], 2)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    for given in (None, {}, {4: near_vectors.Quantizer.plain(4)}):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(frame, 0.98, given).collect()}
+        assert [found[i] for i in range(40, 48)] == [(2, 40), (2, 40), (2, 40), (0, 43), (1, 44), (1, 44), (0, 46), (0, 47)]
