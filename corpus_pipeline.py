@@ -26,16 +26,23 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later repeats of runs of lines from the texts and counts ``n_chars`` anew. A document may become empty."""
+    """Removes later repeats of runs of lines from the texts and counts ``n_chars`` anew, if there. A document may become empty."""
     clean = line_dedup.dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: five-word shingles, similarity 0.8."""
-    found = near_dup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Keeps one document of each component: five-word shingles, similarity 0.8.
+
+    What is dropped are texts of an id, not ids: where one id has several texts, each is judged on its own. Rows equal
+    in id and text stay or go together.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text"))  # a null id is least of none
+    found = near_dup.near_duplicates(docs.select(own.alias("doc_id"), "text"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_gone"), F.col("doc_id.text").alias("_text")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text"]), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
