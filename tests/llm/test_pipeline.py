@@ -1,7 +1,7 @@
 """The stages against what their operators say, on the smallest tables."""
 
 import corpus_pipeline as pipeline
-from frames import DOCS, awkward_docs
+from frames import DOCS, awkward_docs, prose
 
 from leafgrain.llm import near_dup, quality, toxicity
 from leafgrain.llm.common import materialize, table
@@ -39,3 +39,12 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+
+
+def test_only_copy_of_a_text_stays(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(3, a), (5, a), (5, b), (6, None), (None, a), (None, b + " tail"), (None, prose(3, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [tuple(r) for r in pipeline.near_duplicates(spark, docs, ROOT).collect()]
+    assert sorted(out, key=str) == sorted([(3, a), (5, b), (6, None), (None, prose(3, 60))], key=str)
+    assert pipeline.repeated_lines(spark, docs, ROOT).columns == ["doc_id", "text"]
