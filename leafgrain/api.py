@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leafgrain.operators import cards as cd
 from leafgrain.operators import listing as ls
 from leafgrain.operators import retrieval as rt
+from leafgrain.operators import search_index as si
+from leafgrain.operators import vector_index as vi
 from leafgrain.sources import tables as tb
 from leafgrain.schemas import CANDIDATE_POOL
 
@@ -26,11 +28,33 @@ class Engine:
     tables: dict[str, DataFrame]
     postings: DataFrame
     corpus: DataFrame
+    text_index: si.SearchIndex | None = None
+    vector_index: vi.VectorIndex | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, postings: DataFrame | None = None) -> Engine:
-        """Tables under a root folder; pass stored postings to skip building them."""
-        return cls.of(spark, tb.load_tables(spark, root), postings)
+    def open(cls, spark: SparkSession, root: str, postings: DataFrame | None = None, index: str | None = None) -> Engine:
+        """Tables under a root folder; ``index`` is a folder that ``store_indexes`` wrote."""
+        engine = cls.of(spark, tb.load_tables(spark, root), postings)
+        if index:
+            engine.text_index = si.SearchIndex.open(spark, f"{index}/text")
+            engine.vector_index = vi.VectorIndex.open(spark, f"{index}/vectors")
+        return engine
+
+    def store_indexes(self, folder: str) -> None:
+        """Write the text and vector indexes of the tables; searches use them from then on."""
+        passages = self.tables["passages"]
+        self.text_index = si.write_search_index(passages, f"{folder}/text")
+        self.vector_index = vi.write_vector_index(self.tables["passage_embeddings"], passages, f"{folder}/vectors")
+
+    def full_text_hits(self, queries: DataFrame, limit: int) -> DataFrame:
+        if self.text_index:
+            return si.search(self.text_index, queries, limit)
+        return rt.fts_rank(queries, self.postings, self.corpus, limit)
+
+    def nearest_hits(self, query_vectors: DataFrame, limit: int) -> DataFrame:
+        if self.vector_index:
+            return vi.search(self.vector_index, query_vectors, limit)
+        return rt.vector_rank(query_vectors, self.tables["passage_embeddings"], self.tables["passages"], limit)
 
     @classmethod
     def of(cls, spark: SparkSession, tables: dict[str, DataFrame], postings: DataFrame | None = None) -> Engine:
@@ -59,11 +83,11 @@ class Engine:
     ) -> DataFrame:
         """Hybrid (with query vectors) or full-text hits with passage provenance."""
         if query_vectors is None:
-            hits = rt.fts_rank(queries, self.postings, self.corpus, limit).withColumn("rank", F.col("fts_rank"))
+            hits = self.full_text_hits(queries, limit).withColumn("rank", F.col("fts_rank"))
         else:
             hits = rt.hybrid_search(
                 queries, query_vectors, self.tables["passages"], self.tables["passage_embeddings"],
-                self.postings, self.corpus, limit, pool,
+                self.postings, self.corpus, limit, pool, self.full_text_hits, self.nearest_hits,
             ).join(queries.select("query_id", "space_id"), "query_id")
         return rt.enrich_passages(hits, self.tables["passages"])
 

@@ -95,33 +95,24 @@ def plain_snippet(text: Column) -> Column:
     return F.when(F.length(compact) <= SNIPPET_CHARS, compact).otherwise(cut)
 
 
-def highlight_snippet(text: Column, folded_terms: Column, size: int = SNIPPET_TOKENS) -> Column:
-    """Mark matching words inside a window that starts at the first match.
+def marked_window(
+    compact: Column, folded_terms: Column, first: Column, size: int = SNIPPET_TOKENS
+) -> Column:
+    """The ``size`` words of a normalized text from word ``first`` (from 1) on, moved back if they pass its end.
 
-    The window choice approximates the built-in snippet of a full-text engine:
-    it begins at the first match instead of scoring every window. One regex pass
-    finds the match; only the words of the window are looked at one by one.
+    Words with a term are marked; dots stand for what is left out.
     """
-    compact = normalize_ws(text)
-    pattern = F.concat(
-        F.lit(f"(^|(?!{WORD_CLASS}).)("), F.array_join(folded_terms, "|"),
-        F.lit(f")(?!{WORD_CLASS})"),
-    )
-    at = F.regexp_instr(fold_term(compact), pattern)
-    words = F.split(compact, " ")
-    before = F.substring(compact, F.lit(1), at)
-    first = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) + 1
     total = word_count(compact)
     start = F.greatest(F.least(first, total - size + 1), F.lit(1))
-    marked = F.transform(
-        F.slice(words, start, size),
+    shown = F.transform(
+        F.slice(F.split(compact, " "), start, size),
         lambda w: F.when(
-            (F.size(folded_terms) > 0) & F.rlike(fold_term(w), pattern), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))
+            F.arrays_overlap(word_tokens(fold_term(w)), folded_terms), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))
         ).otherwise(w),
     )
     return F.concat(
         F.when(start > 1, F.lit("...")).otherwise(F.lit("")),
-        F.array_join(marked, " "),
+        F.array_join(shown, " "),
         F.when(start + size - 1 < total, F.lit("...")).otherwise(F.lit("")),
     )
 

@@ -5,7 +5,7 @@ A search call is a row of a ``queries`` table (query_id, space_id, query, mode).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ VECTOR_BLOCK = 1024
 QUERY_BLOCK = 256
 #: A rank no row exceeds.
 ALL_ROWS = 2**31 - 1
+Ranker = Callable[[DataFrame, int], DataFrame]
 
 
 def build_postings(passages: DataFrame) -> DataFrame:
@@ -129,11 +130,49 @@ def fts_results(
         "original_text",
     )
     titles = papers.select(F.col("id").alias("paper_id"), F.col("title").alias("paper_title"))
-    return (
-        hits.join(body, "passage_id").join(titles, "paper_id").join(terms, "query_id")
-        .withColumn("snippet", tx.highlight_snippet(F.col("original_text"), F.col("_terms")))
-        .drop("_terms", "original_text")
+    found = hits.join(body, "passage_id").join(titles, "paper_id").join(terms, "query_id")
+    return best_snippets(found, ["query_id", "passage_id"], "original_text", "_terms").drop("_terms", "original_text")
+
+
+def matched_words(df: DataFrame, keys: list[str], compact: str, terms: str) -> DataFrame:
+    """Positional postings of a row's own terms: (keys, pos, term), the word's position from 0."""
+    words = df.select(*keys, terms, F.posexplode(F.split(compact, " ")).alias("pos", "_word"))
+    found = F.array_intersect(tx.word_tokens(tx.fold_term(F.col("_word"))), F.col(terms))
+    return words.select(*keys, "pos", F.explode(found).alias("term"))
+
+
+def best_windows(matches: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, first): where the window of ``size`` words with the most distinct terms begins; of equals the first.
+
+    Windows begin at a match. An occurrence counts for the windows that begin after the term's occurrence before it and
+    reach it; so windows are scored by one running sum over the ends of those ranges, whatever their number.
+    """
+    before = F.lag("pos").over(W.partitionBy(*keys, "term").orderBy("pos"))
+    opens = F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("pos") - size + 1, F.lit(0))
+    ranges = matches.select(*keys, "pos", opens.alias("opens"))
+    steps = F.array(
+        F.struct(F.col("opens").alias("at"), F.lit(1).alias("step"), F.lit(False).alias("start")),
+        F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("step"), F.lit(False).alias("start")),
+        F.struct(F.col("pos").alias("at"), F.lit(0).alias("step"), F.lit(True).alias("start")),
     )
+    upto = W.partitionBy(*keys).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    scored = ranges.select(*keys, F.explode(steps).alias("_s")).select(*keys, "_s.*").withColumn("terms", F.sum("step").over(upto))
+    best = F.max_by("at", F.struct("terms", -F.col("at")))
+    return scored.filter("start").groupBy(*keys).agg(best.alias("first"))
+
+
+def best_snippets(
+    df: DataFrame, keys: list[str], text: str, terms: str, size: int = tx.SNIPPET_TOKENS
+) -> DataFrame:
+    """Adds ``snippet``: the best window of a text with the words that match its terms marked.
+
+    ``keys`` identify a row and are not null. A text without a match begins at its first word.
+    """
+    compact = df.withColumn("_compact", tx.normalize_ws(F.col(text)))
+    first = best_windows(matched_words(compact, keys, "_compact", terms), keys, size)
+    start = F.coalesce(F.col("first") + 1, F.lit(1))
+    marked = tx.marked_window(F.col("_compact"), F.col(terms), start, size)
+    return compact.join(first, keys, "left").withColumn("snippet", marked).drop("_compact", "first")
 
 
 def restrict_to_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -182,12 +221,20 @@ def vector_rank(
     homes = passages.select(F.col("id").alias("passage_id"), "space_id")
     stored = embeddings.filter(F.size("embedding") == F.col("dimension")).join(homes, "passage_id")
     asked = query_vectors.withColumn("dimension", F.size("vector"))
+    id_type = query_vectors.schema["query_id"].dataType.simpleString()
+    scored = score_blocks(stored, asked, keys, id_type, limit)
+    order = [F.desc("semantic_score"), F.asc("passage_id")]
+    return top_k(scored, ["query_id"], order, limit, "semantic_rank")
+
+
+def score_blocks(
+    stored: DataFrame, asked: DataFrame, keys: list[str], id_type: str, limit: int
+) -> DataFrame:
+    """Cosines of vectors and queries of equal keys (``dimension`` among them): the best of each pair of blocks."""
     left = _pack(stored, keys, "passage_id", "embedding", VECTOR_BLOCK)
     right = _pack(asked, keys, "query_id", "vector", QUERY_BLOCK).select(
         *keys, F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")
     )
-
-    id_type = query_vectors.schema["query_id"].dataType.simpleString()
     text_id = id_type == "string"
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,11 +258,9 @@ def vector_rank(
                     })
 
     pairs = left.join(right, keys)
-    scored = pairs.select("ids", "matrix", "query_ids", "query_matrix", "dimension").mapInPandas(
+    return pairs.select("ids", "matrix", "query_ids", "query_matrix", "dimension").mapInPandas(
         score, f"query_id {id_type}, passage_id string, semantic_score double"
     )
-    order = [F.desc("semantic_score"), F.asc("passage_id")]
-    return top_k(scored, ["query_id"], order, limit, "semantic_rank")
 
 
 def vector_rank_candidates(
@@ -293,9 +338,13 @@ def spaces_with_vectors(embeddings: DataFrame, passages: DataFrame) -> DataFrame
 def hybrid_search(
     queries: DataFrame, query_vectors: DataFrame, passages: DataFrame, embeddings: DataFrame,
     postings: DataFrame, corpus: DataFrame, limit: int = 50, pool: int | None = CANDIDATE_POOL,
+    full_text: Ranker | None = None, nearest: Ranker | None = None,
 ) -> DataFrame:
     """Full-text search, re-ranked by vectors where the mode asks for it.
 
+    ``full_text`` and ``nearest`` rank queries and query vectors from stored indexes; without them the postings and
+    the embeddings are scanned.
+
     ``auto`` uses vectors when the space has any. Vectors re-rank the best
     ``pool`` (at least ``limit``) full-text candidates; only a query without
     candidates searches its whole space. With ``pool`` None every query ranks
@@ -311,13 +360,15 @@ def hybrid_search(
         .alias("hybrid"),
     )
     # At most ``pool`` rows a query, read several times below: computed once.
-    fts = cut_lineage(fts_rank(queries, postings, corpus, pool).join(modes, "query_id"))
+    full_text = full_text or (lambda asked, k: fts_rank(asked, postings, corpus, k))
+    nearest = nearest or (lambda asked, k: vector_rank(asked, embeddings, passages, k))
+    fts = cut_lineage(full_text(queries, pool).join(modes, "query_id"))
     rerank = fts.filter("hybrid").select("query_id", "passage_id")
     inside = vector_rank_candidates(query_vectors, embeddings, rerank, pool)
     without = query_vectors.join(modes.filter("hybrid"), "query_id", "left_semi")
     if not whole:
         without = without.join(rerank.select("query_id").distinct(), "query_id", "left_anti")
-    outside = vector_rank(without, embeddings, passages, pool)
+    outside = nearest(without, pool)
     semantic = outside if whole else inside.unionByName(outside)
     fused_ids = semantic.select("query_id").distinct()
     fused = reciprocal_rank_fusion(

@@ -59,6 +59,29 @@ def snippet(x: str) -> str:
     return f"CASE WHEN length({n}) <= 240 THEN {n} ELSE rtrim(substr({n}, 1, 237)) || '...' END"
 
 
+def best_window(source: str, keys: str, size: int = 32) -> dict[str, str]:
+    """CTEs up to ``shown`` (keys, snippet) for the best windows of ``source`` (keys, body, terms)."""
+    same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    word = f"len(list_intersect({word_list(fold('word'))}, terms)) > 0"
+    return dict(
+        sn_rows=f"SELECT {keys}, terms, {ws('body')} AS compact FROM {source}",
+        sn_words=f"SELECT {keys}, terms, unnest(string_split(compact, ' ')) AS word,"
+        " generate_subscripts(string_split(compact, ' '), 1) AS pos FROM sn_rows",
+        sn_found=f"SELECT DISTINCT {keys}, pos, term FROM (SELECT {keys}, pos, terms, unnest({word_list(fold('word'))})"
+        " AS term FROM sn_words) WHERE list_contains(terms, term)",
+        sn_first=f"SELECT {keys}, pos AS first FROM (SELECT a.*, (SELECT count(DISTINCT term) FROM sn_found b WHERE {same}"
+        f" AND b.pos BETWEEN a.pos AND a.pos + {size - 1}) AS n FROM (SELECT DISTINCT {keys}, pos FROM sn_found) a)"
+        f" QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, pos) = 1",
+        sn_start=f"SELECT {keys}, total, greatest(least(coalesce(first, 1), total - {size} + 1), 1) AS start FROM (SELECT *,"
+        f" CASE WHEN compact = '' THEN 0 ELSE len(string_split(compact, ' ')) END AS total FROM sn_rows) LEFT JOIN sn_first"
+        f" USING ({keys})",
+        shown=f"SELECT {keys}, CASE WHEN any_value(start) > 1 THEN '...' ELSE '' END || string_agg(CASE WHEN {word} THEN"
+        " '<mark>' || word || '</mark>' ELSE word END, ' ' ORDER BY pos) || CASE WHEN any_value(start) + "
+        f"{size - 1} < any_value(total) THEN '...' ELSE '' END AS snippet FROM sn_words JOIN sn_start USING ({keys})"
+        f" WHERE pos BETWEEN start AND start + {size - 1} GROUP BY {keys}",
+    )
+
+
 def truncated(x: str) -> str:
     n = ws(x)
     return (

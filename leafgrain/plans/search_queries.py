@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from leafgrain.functions import text as tx
 from leafgrain.operators import embeddings as em
 from leafgrain.operators import retrieval as rt
+from leafgrain.operators import search_index as si
+from leafgrain.operators import vector_index as vi
+from leafgrain.operators.keyed import work_dir
 from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import MODEL, PROVIDER, Corpus
 from leafgrain.plans.registry import query, stamp
@@ -87,9 +90,17 @@ def fts_results(c: Corpus):
     )
 
 
-@query("fts_snippets")
+@query(
+    "fts_snippets",
+    o.sql(
+        "SELECT query_id, passage_id, snippet FROM shown", "passages", "papers", "q", **SCORED,
+        hit="SELECT query_id, passage_id, original_text AS body, (SELECT list(term) FROM qt WHERE qt.query_id ="
+        " ranked.query_id) AS terms FROM ranked JOIN passages p ON p.id = passage_id WHERE fts_rank <= 10",
+        **o.best_window("hit", "query_id, passage_id"),
+    ),
+)
 def fts_snippets(c: Corpus):
-    """Highlighted snippets of the hits; the window rule is checked in the tests."""
+    """Highlighted best windows of the hits."""
     postings, stats = search_parts(c)
     hits = rt.fts_rank(c.queries, postings, stats, 10)
     return rt.fts_results(hits, c.queries, c.passages, c.papers).select(
@@ -97,6 +108,23 @@ def fts_snippets(c: Corpus):
     )
 
 
+@query(
+    "stored_fts_search",
+    o.sql("SELECT query_id, passage_id, fts_score, fts_rank FROM ranked WHERE fts_rank <= 50",
+          "passages", "q", **SCORED),
+)
+def stored_fts_search(c: Corpus):
+    """The index is written, read back, and searched by the blocks that can win."""
+    index = si.write_search_index(c.passages, work_dir(c.spark, "index"))
+    return si.search(index, c.queries, 50).select("query_id", "passage_id", "fts_score", "fts_rank")
+
+
+@query("fts_blocks_read")
+def fts_blocks_read(c: Corpus):
+    """How many of a query's blocks a search by any term reads; how many it may leave is checked in the tests."""
+    return si.blocks_read(si.write_search_index(c.passages, work_dir(c.spark, "index")), c.queries, 10)
+
+
 COSINE = "round(list_cosine_similarity(qv.vector, emb.embedding), 6)"
 VECTORS = dict(
     vec=f"SELECT qv.query_id, emb.passage_id, {COSINE} AS semantic_score FROM qv JOIN passages p"
@@ -115,6 +143,17 @@ def vector_search(c: Corpus):
     return rt.vector_rank(c.query_vectors, c.embeddings, c.passages, 50)
 
 
+@query(
+    "stored_vector_search",
+    o.sql("SELECT query_id, passage_id, semantic_score, semantic_rank FROM vrank WHERE"
+          " semantic_rank <= 50", "passages", "qv", "emb", **VECTORS),
+)
+def stored_vector_search(c: Corpus):
+    """Inverted lists are written, read back, and opened as far as their bounds demand."""
+    index = vi.write_vector_index(c.embeddings, c.passages, work_dir(c.spark, "lists"))
+    return vi.search(index, c.query_vectors, 50)
+
+
 @query(
     "vector_topk",
     o.sql("SELECT query_id, passage_id, semantic_rank FROM vrank WHERE semantic_rank <= 3",
@@ -473,4 +512,23 @@ def sync_vector_table(c: Corpus):
     return synced.select("passage_id", "dimension", stamp("created_at").alias("created_at"))
 
 
+@query(
+    "sync_vector_lists",
+    o.sql(
+        "SELECT passage_id, CAST(dimension AS BIGINT) AS dimension, "
+        + o.stamp("created_at + to_seconds(CASE WHEN vec_id % 2 = 0 AND vec_id % 4 <> 0 THEN 3600 ELSE 0 END)")
+        + " AS created_at FROM (SELECT emb.*, CAST(split_part(passage_id, '-', 2) AS BIGINT) AS vec_id"
+        " FROM emb JOIN passages p ON p.id = passage_id) WHERE vec_id % 5 <> 0", "passages", "emb",
+    ),
+)
+def sync_vector_lists(c: Corpus):
+    """Every second vector is sent again an hour later, every fourth broken; each fifth is deleted."""
+    index = vi.write_vector_index(c.embeddings, c.passages, work_dir(c.spark, "lists"))
+    number = F.split("passage_id", "-")[1].cast("long")
+    later = c.embeddings.filter(number % 2 == 0).withColumn("created_at", F.col("created_at") + F.expr("interval 1 hour"))
+    sent = later.withColumn("embedding", F.when(number % 4 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    synced = vi.sync_vector_index(index, sent, c.passages, c.embeddings.filter(number % 5 == 0))
+    return synced.rows.select("passage_id", "dimension", stamp("created_at").alias("created_at"))
+
+
 __all__ = ["tx"]

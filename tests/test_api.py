@@ -37,3 +37,28 @@ def test_engine_over_stored_tables(spark):
     engine.register_views()
     assert spark.sql("select count(*) from papers").first()[0] == 1
     assert engine.paper_summary().select(F.sum("card_count")).first()[0] == 1
+
+
+def test_engine_over_stored_indexes(spark, tmp_path):
+    from datetime import datetime
+
+    rows = {name: spark.createDataFrame([], schema) for name, schema in sc.TABLE_SCHEMAS.items()}
+
+    def fill(name, *values):
+        columns = sc.TABLE_SCHEMAS[name].fieldNames()
+        rows[name] = spark.createDataFrame([tuple(v.get(c) for c in columns) for v in values], sc.TABLE_SCHEMAS[name])
+
+    texts = ["graph methods", "graph of graphs", "methods only", "nothing"]
+    fill("passages", *[{"id": f"p{i}", "paper_id": "p", "space_id": "s", "section": "", "original_text": t} for i, t in enumerate(texts)])
+    fill("passage_embeddings", *[
+        {"passage_id": f"p{i}", "provider": "l", "model": "m", "dimension": 2, "embedding": [1.0, float(i)], "created_at": datetime(2024, 1, 1)} for i in range(4)])
+    asked = spark.createDataFrame([(1, "s", "graph methods", "fts"), (2, "s", "graph", "auto"), (3, "s", "zzz", "hybrid")], "query_id bigint, space_id string, query string, mode string")
+    vectors = spark.createDataFrame([(i, "s", "l", "m", [1.0, 2.0]) for i in (1, 2, 3)], "query_id bigint, space_id string, provider string, model string, vector array<float>")
+    plain, indexed = Engine.of(spark, rows), Engine.of(spark, rows)
+    indexed.store_indexes(str(tmp_path))
+    for name, df in rows.items():
+        tb.save_table(df, str(tmp_path / "tables"), name)
+    opened = Engine.open(spark, str(tmp_path / "tables"), index=str(tmp_path))
+    for given in ((asked, None), (asked, vectors)):
+        want = sorted(map(str, plain.search(*given).select("query_id", "passage_id", "rank").collect()))
+        assert want and all(sorted(map(str, e.search(*given).select("query_id", "passage_id", "rank").collect())) == want for e in (indexed, opened))

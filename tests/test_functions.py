@@ -1,5 +1,6 @@
 """Scalar functions against plain Python."""
 
+import random
 import re
 import unicodedata
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafgrain.functions import meta
 from leafgrain.functions import text as tx
+from leafgrain.operators import retrieval
 
 
 def one(spark, expr, **values):
@@ -60,12 +62,33 @@ def test_identifiers(spark):
     assert one(spark, meta.filename_title(F.col("t")), t="a/b/my_paper-one.v2.pdf") == "my paper one.v2"
 
 
+def snippet_of(spark, text, terms):
+    df = spark.createDataFrame([(1, text, terms)], "id int, t string, k array<string>")
+    return retrieval.best_snippets(df, ["id"], "t", "k").first().snippet
+
+
 def test_highlight_window(spark):
     words = [f"w{i}" for i in range(60)]
     words[40] = "Tränsformer,"
-    shown = one(spark, tx.highlight_snippet(F.col("t"), F.col("k")), t=" ".join(words), k=["transformer"])
+    shown = snippet_of(spark, " ".join(words), ["transformer"])
     assert "<mark>Tränsformer,</mark>" in shown
     assert shown.startswith("...") and not shown.endswith("...")
     assert len(shown.strip(".").split()) == 32
-    inside = one(spark, tx.highlight_snippet(F.col("t"), F.col("k")), t="attransformer x transformer", k=["transformer"])
-    assert inside == "attransformer x <mark>transformer</mark>"
+    assert snippet_of(spark, "attransformer x transformer", ["transformer"]) == "attransformer x <mark>transformer</mark>"
+
+
+def test_best_window_equals_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["a", "b-c", "c", "d", "x", "y", "z", "É,"]) for _ in range(r.randrange(0, 120))), r.sample(["a", "b", "c", "d", "e"], r.randrange(5))) for i in range(60)]
+    rows += [(100, None, ["a"]), (101, "", ["a"]), (102, "a a a", []), (103, "  a\n b ", ["b", "b"])]
+    df = spark.createDataFrame(rows, "id int, t string, k array<string>")
+    got = {x.id: x.snippet for x in retrieval.best_snippets(df, ["id"], "t", "k", 7).collect()}
+    fold = lambda w: re.findall(r"\w+", w.lower().replace("é", "e"))
+    for i, text, terms in rows:
+        words = (text or "").split()
+        hit = [set(fold(w)) & set(terms) for w in words]
+        scores = [(-len(set().union(*hit[p:p + 7])), p) for p in range(len(words)) if hit[p]]
+        first = max(min(min(scores)[1] if scores else 0, len(words) - 7), 0)
+        body = " ".join(f"<mark>{w}</mark>" if h else w for w, h in zip(words[first:first + 7], hit[first:first + 7]))
+        want = ("..." if first else "") + body + ("..." if first + 7 < len(words) else "")
+        assert got[i] == (None if text is None else want)
