@@ -142,14 +142,19 @@ class WordEncoder:
             text = chunk.lower() if self.lowers else chunk
         else:
             text = self.normalizer.normalize_str(chunk)
-        word = text.removeprefix(" ")
-        if word.isalpha():
-            return self._piece(text)
-        pieces = [text[:-1], text[-1]] if text[-1:] in (",", ".") and word[:-1].isalpha() else self.pieces.findall(text)
-        if len(pieces) == 1:
-            return self._piece(pieces[0])
-        # A piece is a chunk, too, and most are known.
-        return b"".join([known.get(p) or self._piece(p) for p in pieces])
+        if text.isalpha():
+            return self._kept(text, known)
+        pieces = [text[:-1], text[-1]] if text[-1:] in (",", ".") and text[:-1].isalpha() else self.pieces.findall(text)
+        return b"".join([self._kept(p, known) for p in pieces])
+
+    def _kept(self, piece: str, known: dict[str, bytes]) -> bytes:
+        """A piece is a chunk, too: its ids are kept for the chunks that hold it with other signs or letter case."""
+        ids = known.get(piece)
+        if ids is None:
+            ids = self._piece(piece)
+            if len(piece) <= LONG_WORD:
+                known[piece] = ids
+        return ids
 
     def _chunks(self, text: str) -> list[str]:
         if not self.marks or not self.marks.search(text):
