@@ -107,12 +107,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def fit_quantizer(vectors: DataFrame, rows: int = FIT_VECTORS) -> dict[int, Quantizer]:
     """A quantizer for each length among the sampled vectors: at most ``rows`` of them, one for each vec_id.
 
-    The number of lists grows with the root of the table, as far as the sample carries it.
+    The number of lists grows with the table, to lists of a block each and then with the root of the rows, as far as the
+    sample carries it.
     """
     known = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
     chosen = known.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
     sample = vectors.join(F.broadcast(chosen), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow().sort_by("vec_id")
-    lists = max(LISTS, int(vectors.count() ** 0.5))
+    rows = vectors.count()
+    lists = max(LISTS, min(rows // BLOCK, int(rows ** 0.5)))
     by_length: dict[int, list[np.ndarray]] = {}
     for chunk in sample.column("embedding").chunks:
         _, starts, ends, flat = usable(chunk)
