@@ -73,8 +73,9 @@ def normalize_arxiv(value: Column) -> Column:
 
 
 def first_doi(text: Column) -> Column:
-    """First DOI in a text, '' when there is none."""
-    return normalize_doi(F.regexp_extract(text, DOI_PATTERN, 0))
+    """First DOI in a text, '' when there is none. Texts without a DOI's first letters are not searched."""
+    found = F.when(text.contains("10."), F.regexp_extract(text, DOI_PATTERN, 0))
+    return normalize_doi(F.when(text.isNotNull(), F.coalesce(found, F.lit(""))))
 
 
 def first_arxiv(text: Column) -> Column:

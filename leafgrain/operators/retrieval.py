@@ -88,8 +88,9 @@ def fts_rank(
     # The filter moves below an index aggregation, so only query terms are ever counted.
     postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     scored_terms = terms.join(term_stats(postings), "term")
-    # One row of corpus totals, read as scalar subqueries.
-    total, mean = corpus.select("passages").scalar(), corpus.select("mean_length").scalar()
+    # One row of corpus totals, read as one scalar subquery.
+    totals = corpus.select(F.struct("passages", "mean_length")).scalar()
+    total, mean = totals["passages"], totals["mean_length"]
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weighted = scored_terms.select(
         "query_id", "space_id", "n_terms", "term", mean.alias("mean_length"),

@@ -406,11 +406,11 @@ def cells_to_grid(c: Corpus):
     o.sql(
         f"SELECT a.doc_id, a.pos, trim(concat_ws(' ', 'Figure ' || a.pos, CASE WHEN b.doc_id IS NULL THEN"
         f" '#/texts/' || (a.pos + 1) ELSE nullif({o.ws('b.line')}, '') END)) AS caption FROM lines a LEFT"
-        " JOIN lines b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.pos % 3 = 0", "lines",
+        " JOIN lines b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1", "lines",
     ),
 )
 def resolve_captions(c: Corpus):
-    items = c.lines.filter(p % 3 == 0).select(
+    items = c.lines.select(
         d.alias("paper_id"), p.alias("item_index"),
         F.array(F.concat(F.lit("Figure "), p), F.concat(F.lit("#/texts/"), p + 1)).alias("captions"),
     )

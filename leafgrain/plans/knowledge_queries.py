@@ -388,11 +388,11 @@ def scores_of(c: Corpus):
     o.sql(
         "SELECT id, parse_status = 'parsed' AND has AS eligible, CASE WHEN parse_status <> 'parsed' THEN 'parsing has not"
         " completed' WHEN NOT has THEN 'parsing has not produced passages' ELSE '' END AS reason FROM (SELECT *, id IN"
-        " (SELECT paper_id FROM passages WHERE paragraph_index > 2) AS has FROM papers)", "papers", "passages",
+        " (SELECT paper_id FROM passages) AS has FROM papers)", "papers", "passages",
     ),
 )
 def analysis_eligible(c: Corpus):
-    return an.analysis_eligible(c.papers, c.passages.filter("paragraph_index > 2")).drop("space_id")
+    return an.analysis_eligible(c.papers, c.passages).drop("space_id")
 
 
 # ---------------------------------------------------------------- cards
