@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,52 +14,72 @@ from pyspark.sql import DataFrame
 
 from leafgrain.llm.common import small_batches, texts_of
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name, to its end; a quote opens a value only after an equals sign.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: Elements whose content is no text of the page; it ends at their own end tag.
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that never hold the article.
-APART = frozenset("nav footer aside form button select dialog menu fieldset head".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow ms mtext msub msup q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a piece of a text, never a whole article.
+PIECES = HEADINGS | frozenset("p li ul ol dl dt dd pre xmp blockquote table thead tbody tfoot tr td th figure figcaption".split())
 CONTENT = frozenset("article main".split())
-#: Words in class, id or role of elements that surround an article.
-NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend(?:ed|ations)?|sidebar|side|rail|widget|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|pagination|pager|footer|foot|copyright|comments?|commentlist|disqus|respond|repl(?:y|ies)|search|toolbar|masthead|"
-    r"skip|legal|complementary|contentinfo)(?=$|[-_\s])")
+#: Elements that do not hold the article, with the weight of their text.
+APART = dict.fromkeys("nav footer aside button select dialog menu fieldset head".split(), 0.002) | {"form": 0.1}
+#: Words in class, id or role of elements that surround an article, with the same weight; the first also tell inside one,
+#: the first of all even on a single paragraph.
+ADVERTS = "ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|comments?|commentlist|disqus"
+EXTRAS = ("cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend(?:ed|ations)?|sidebar|nav|navbar|"
+          "navigation|breadcrumbs?|pagination|pager|promo(?:tion)?s?|respond|repl(?:y|ies)|popup|modal")
+FRAME = "banner|notices?|alert|overlay|side|rail|widget|menu|footer|foot|copyright|search|toolbar|masthead|skip|legal|complementary|contentinfo"
+WORDS = [re.compile(rf"(?:^|[-_\s])(?:{w})(?=$|[-_\s])") for w in (ADVERTS, f"{ADVERTS}|{EXTRAS}", f"{ADVERTS}|{EXTRAS}|{FRAME}")]
+#: Class words that tell of the page's layout, not of the element.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is)[-_]\S*")
 BODY = re.compile(r"(?:^|[-_\s])(?:articlebody|article-body|entry-content|post-content|article-content|main-content)(?=$|[-_\s])")
+NOISE = 0.002
 #: An element of the left kind ends an open one of the right, unless the third stands between.
-ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
-        "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)),
+        "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 #: A path is content from this share of the best path's score.
 THRESHOLD = 0.3
+#: The article's element holds at least this share of the text found.
+HOLDS = 0.8
 #: Weights of a node's neighbours in page order.
 SMOOTH = [math.exp(-d * d / 2) for d in range(3)]
 
 
-@dataclass
+@dataclass(slots=True)
 class Open:
+    """An open element: ``path`` and ``element`` are those of the next one around that is not inline."""
     tag: str
-    path: str
-    apart: bool
+    path: int
+    element: int
     content: bool
+    hidden: bool
     linked: bool
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: str
+    path: int
+    element: int
     content: bool
+    heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    text: str = ""
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+
+@dataclass
+class Page:
+    """Blocks in order, the weight of each tag path, and parent and tag of each element (a parent has the smaller number)."""
+    blocks: list[Block] = field(default_factory=list)
+    weights: list[float] = field(default_factory=lambda: [1.0])
+    parents: list[int] = field(default_factory=lambda: [0])
+    tags: list[str] = field(default_factory=lambda: [""])
 
 
 def attributes(source: str) -> tuple[str, bool]:
@@ -70,48 +91,86 @@ def attributes(source: str) -> tuple[str, bool]:
             words.append(value)
         else:
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return " ".join(words), hidden
+    return LAYOUT.sub("", " ".join(words)), hidden
+
+
+def tags_of(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before it, end tag, name, attributes) of every tag, in one pass; the name of the last and of comments is "".
+
+    A tag ends at the first `>` outside a quoted value. Where there is none, it ends at the next `>`, and so do all tags
+    after it; with no `>` left, what follows is text. So each character is looked at a bounded number of times.
+    """
+    at, start, quoted = 0, 0, True
+    last = page.rfind(">")
+    while 0 <= (open_at := page.find("<", at)) <= last:
+        if page.startswith("<!--", open_at):
+            end = page.find("-->", open_at + 4)
+            end, name, close, rest = len(page) if end < 0 else end + 3, "", False, ""
+        elif page.startswith(("<!", "<?"), open_at):
+            end, name, close, rest = page.find(">", open_at) + 1, "", False, ""
+        elif m := NAME.match(page, open_at + 1):
+            found = REST.match(page, m.end()) if quoted else None
+            quoted = found is not None
+            end = found.end() if found else page.find(">", m.end()) + 1
+            name, close, rest = m[2].lower(), bool(m[1]), page[m.end():end - 1]
+        else:
+            at = open_at + 1
+            continue
+        text = page[start:open_at]
+        if name in RAW and not close and not rest.endswith("/"):
+            ended = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, end)
+            end = page.find(">", ended.end()) + 1 or len(page) if ended else len(page)
+            name = ""
+        at = start = end
+        yield text, close, name, rest
+        if name == "xmp" and not close:
+            ended = re.compile(r"</xmp(?=[\s/>])", re.I).search(page, end)
+            at = start = ended.start() if ended else len(page)
+            yield html.escape(page[end:at], quote=False), False, "", ""
+    yield page[start:].partition("<!--")[0], False, "", ""
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks outside of what never holds the article, in order."""
-    stack = [Open("", "", False, False, False)]
-    out: list[Block] = []
+def read_page(page: str) -> Page:
+    """The page's blocks, in order, with their tag paths."""
+    out = Page()
+    paths: dict[tuple[int, str, float], int] = {}
+    stack = [Open("", 0, 0, False, False, False)]
+    #: Positions in the stack of each tag.
+    where: dict[str, list[int]] = defaultdict(list)
     block: Block | None = None
-    at = 0
 
     def add(text: str) -> None:
         nonlocal block
         top = stack[-1]
-        if not text or top.apart:
+        if not text or top.hidden:
             return
         if block is None:
             if text.isspace():
                 return
-            # The path down to the block; inline elements inside belong to it.
-            inner = next((o for o in reversed(stack) if o.tag not in INLINE), stack[0])
-            block = Block(inner.path, top.content)
-            out.append(block)
+            block = Block(top.path, top.element, top.content, out.tags[top.element] in HEADINGS)
+            out.blocks.append(block)
         text = html.unescape(text)
         block.parts.append(text)
         if top.linked:
             block.linked += len(text)
 
-    def pop_to(names: set[str], barrier: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in barrier:
-                return
+    def close(names: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
+        place = max([where[n][-1] for n in names if where[n]], default=0)
+        if place and place > max([where[n][-1] for n in barrier if where[n]], default=0):
+            while len(stack) > place:
+                where[stack.pop().tag].pop()
 
-    while m := TOKEN.search(page, at):
-        add(page[at:m.start()])
-        at = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    def weight_of(tag: str, words: str, inside: bool) -> float:
+        if tag in APART or tag == "header" and not inside:
+            return APART.get(tag, NOISE)
+        if not words or tag in ("html", "body", "main") or tag == "article" and not inside and "comment" not in words:
+            return 1
+        return NOISE if WORDS[2 if not inside else 0 if tag in PIECES or tag in INLINE else 1].search(words) else 1
+
+    for text, end, tag, rest in tags_of(page):
+        add(text)
         if not tag:
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             block = None
         elif tag == "br":
@@ -119,69 +178,105 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if end:
-            if any(o.tag == tag for o in stack[1:]):
-                pop_to({tag}, set())
-            continue
-        if tag in RAW:
-            if not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+            close((tag,))
             continue
-        if attrs.endswith("/"):
+        if rest.endswith("/"):
             continue
         if tag in ENDS:
-            pop_to(*ENDS[tag])
-        elif tag not in INLINE:
-            pop_to({"p"}, {"table", "td", "th", "button", "li", "article", "section", "div"})
+            close(tuple(ENDS[tag][0].split()), ENDS[tag][1])
+        elif where["p"] and tag not in INLINE:
+            close(("p",), ("table", "td", "th", "button", "li", "article", "section", "div"))
         top = stack[-1]
-        words, hidden = attributes(attrs) if attrs.strip() else ("", False)
-        content = top.content or tag in CONTENT or bool(BODY.search(words)) or "main" in words.split()
-        apart = top.apart or hidden or tag in APART or tag == "header" and not top.content
-        if not apart and words and tag not in ("html", "body", "main"):
-            apart = bool(NOISE.search(words)) and not (tag == "article" and not top.content and "comment" not in words)
-        stack.append(Open(tag, f"{top.path}/{tag}", apart, content, top.linked or tag == "a"))
-    add(page[at:])
-    return [b for b in out if b.text]
+        words, hidden = attributes(rest) if rest.strip() else ("", False)
+        weight = weight_of(tag, words, top.content)
+        content = weight == 1 and (top.content or tag in CONTENT or bool(BODY.search(words)) or "main" in words.split())
+        path, element = top.path, top.element
+        if tag not in INLINE or weight < 1:
+            step = (path, tag, weight)
+            if step not in paths:
+                paths[step] = len(out.weights)
+                out.weights.append(out.weights[path] * weight)
+            out.parents.append(element)
+            out.tags.append(tag)
+            path, element = paths[step], len(out.tags) - 1
+        if weight < 1:
+            block = None
+        where[tag].append(len(stack))
+        stack.append(Open(tag, path, element, content, top.hidden or hidden, top.linked or tag == "a"))
+    for b in out.blocks:
+        b.text = " ".join("".join(b.parts).split())
+    out.blocks = [b for b in out.blocks if b.text]
+    return out
 
 
-def path_scores(blocks: list[Block]) -> tuple[dict[str, float], dict[str, float]]:
+def path_scores(page: Page) -> tuple[dict[int, float], dict[int, int]]:
     """(smoothed and fused ratio, length of text) of every tag path.
 
     A path's ratio is the mean length of its blocks outside links, its second ratio their mean punctuation; fused, they
-    are a geometric mean, less the share of link text. Each block then takes part of its neighbours' scores, and a path
-    the mean of its blocks, again less the share of link text.
+    are a geometric mean, less the share of link text, by the weight of the path's marks. Each block then takes part of
+    its neighbours' scores, and a path the mean of its blocks, again less the share of link text and by the weight.
     """
-    total: dict[str, list[float]] = {}
-    for b in blocks:
+    total: dict[int, list[int]] = {}
+    for b in page.blocks:
         t = total.setdefault(b.path, [0, 0, 0, 0])
         t[0] += 1
         t[1] += len(b.text)
         t[2] += len(PUNCTUATION.findall(b.text))
         t[3] += min(b.linked, len(b.text))
-    fused = {p: math.sqrt((chars - linked) / n * (1 + punctuation / n)) * (1 - linked / chars) for p, (n, chars, punctuation, linked) in total.items()}
-    raw = [fused[b.path] for b in blocks]
-    score: dict[str, float] = dict.fromkeys(total, 0.0)
-    for i, b in enumerate(blocks):
-        near = [(SMOOTH[abs(j - i)], raw[j]) for j in range(max(0, i - 2), min(len(raw), i + 3))]
-        score[b.path] += sum(w * r for w, r in near) / sum(w for w, _ in near) / total[b.path][0]
-    return {p: s * (1 - total[p][3] / total[p][1]) for p, s in score.items()}, {p: t[1] for p, t in total.items()}
+    fused = {p: page.weights[p] * math.sqrt((chars - linked) / n * (1 + punctuation / n)) * (1 - linked / chars)
+             for p, (n, chars, punctuation, linked) in total.items()}
+    raw = [fused[b.path] for b in page.blocks]
+    score: dict[int, float] = dict.fromkeys(total, 0.0)
+    for i, b in enumerate(page.blocks):
+        near = range(max(0, i - 2), min(len(raw), i + 3))
+        score[b.path] += sum([SMOOTH[abs(j - i)] * raw[j] for j in near]) / sum([SMOOTH[abs(j - i)] for j in near]) / total[b.path][0]
+    return ({p: page.weights[p] * s * (1 - total[p][3] / total[p][1]) for p, s in score.items()}, {p: t[1] for p, t in total.items()})
+
 
+def article_element(page: Page, found: list[bool]) -> tuple[int, int]:
+    """(first, last) element of the innermost one that holds most of the text found; (0, 0) if that is the whole body."""
+    inside, last = [0] * len(page.tags), list(range(len(page.tags)))
+    for b, f in zip(page.blocks, found):
+        inside[b.element] += f * len(b.text)
+    for e in range(len(page.tags) - 1, 0, -1):
+        inside[page.parents[e]] += inside[e]
+        last[page.parents[e]] = max(last[page.parents[e]], last[e])
+    first = max(e for e, n in enumerate(inside) if n >= HOLDS * inside[0])
+    while page.tags[first] in PIECES:
+        first = page.parents[first]
+    return (0, 0) if page.tags[first] in ("", "html", "body") else (first, last[first])
 
-def main_text(page: str) -> str:
+
+def main_text(html_text: str) -> str:
     """The article's blocks, one on a line.
 
-    The content is the paths whose score reaches a share of that of the path with most score times text; a block marked
-    as the article needs half of that. Where most of what is found is marked, the other marked blocks (short ones, as a
-    rule) belong to it, too.
+    Found are the paths whose score reaches a share of that of the path with most score times text (by the weight of its
+    marks, so that text marked as none of the article's never sets the bar beside other text); a block marked as the
+    article needs half of that. The element that holds most of what is found is the article: its other blocks belong to
+    it unless they are marked or mostly links, and what else was found belongs to it only if its path occurs in there,
+    too. Where most of what is found stands in a marked article, so do all its blocks. Headings go with what they head.
     """
-    blocks = blocks_of(page)
+    page = read_page(html_text)
+    blocks, weights = page.blocks, page.weights
     if not blocks:
         return ""
-    score, chars = path_scores(blocks)
-    least = THRESHOLD * score[max(score, key=lambda p: score[p] * chars[p])]
-    found = [score[b.path] * (1 + b.content) >= least for b in blocks]
+    score, chars = path_scores(page)
+    best = max(score, key=lambda p: score[p] * chars[p] * weights[p])
+    if weights[best] < 0.05:
+        return ""
+    found = [score[b.path] * (1 + b.content) >= THRESHOLD * score[best] for b in blocks]
     marked = sum(len(b.text) * (1 if b.content else -1) for b, f in zip(blocks, found) if f) > 0
-    return "\n".join(b.text for b, f in zip(blocks, found) if f or marked and b.content)
+    first, last = article_element(page, found)
+    if first:
+        inside = [first <= b.element <= last for b in blocks]
+        own = {b.path for b, f, i in zip(blocks, found, inside) if f and i}
+        least = weights[best]
+        found = [f and (i or b.path in own) or i and weights[b.path] >= least and 2 * b.linked < len(b.text)
+                 for b, f, i in zip(blocks, found, inside)]
+    kept = [f or marked and b.content for b, f in zip(blocks, found)]
+    for i in range(len(blocks) - 2, -1, -1):
+        kept[i] |= blocks[i].heading and kept[i + 1] and weights[blocks[i].path] >= weights[blocks[i + 1].path] and 2 * blocks[i].linked < len(blocks[i].text)
+    return "\n".join(b.text for b, k in zip(blocks, kept) if k)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

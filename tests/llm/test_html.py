@@ -1,5 +1,8 @@
 """Main text of pages."""
 
+import re
+import time
+
 import pytest
 
 from leafgrain.llm.html_text import extract_text, main_text
@@ -74,3 +77,50 @@ def test_one_long_block_does_not_set_the_bar_on_pages_of_any_size(paths):
     rich = "".join(f"<x{n}>item</x{n}>" for n in range(paths))
     page = "<div>" + "".join(f"<p>{b}</p>" for b in body) + "</div>" + rich + "<blockquote>" + "No one is liable, ever; so it is. " * 20 + "</blockquote>"
     assert main_text(page).split("\n")[:60] == body
+
+
+def test_given_pages_without_tags_and_classes_that_tell(spark):
+    """Only ratios and structure are left: `div` for every semantic tag, no class and no id."""
+    article = kept = noise = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:nav|article|footer|aside|header|main|section)\b", r"<\1div", r.html)
+        want = main_text(r.html).split("\n")
+        article += sum(map(len, want))
+        for line in main_text(re.sub(r' (?:class|id)="[^"]*"', "", plain)).split("\n"):
+            if line in want:
+                want.remove(line)
+                kept += len(line)
+            else:
+                noise += len(line)
+    assert kept >= 0.95 * article and noise < 0.01 * article
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", ["x=1"]), ("<xmp>a <b> &amp; c</xmp>", ["a <b> &amp; c"]),
+    ("<p class='legal'>Legal words.</p>", ["Legal words."]), ("<object data=x>Fallback.</object>", ["Fallback."]),
+    ("<div class='comments'><p>I say, so.</p></div>", []), ("<div class='ad'>Buy, now.</div>", []),
+])
+def test_what_stays_inside_an_article(inner, text):
+    body = [LONG.format(n) for n in range(5)]
+    page = "<article>" + "".join(f"<p>{b}</p>" for b in body) + inner + "<p>End.</p></article>"
+    assert main_text(page).split("\n") == [*body, *text, "End."]
+
+
+def test_class_words_that_enclose_the_article_do_not_remove_it():
+    body = "".join(f"<p>{LONG.format(n)}</p>" for n in range(5))
+    for head, tail in (("<div class='has-sidebar no-ads'>", "</div>"), ("<form action='/'>", "</form>")):
+        assert main_text(head + body + tail).count("\n") == 4
+    assert main_text("<div class='ad'>Buy this, and buy it now.</div><article></article><footer>All rights, and so on.</footer>") == ""
+
+
+@pytest.mark.parametrize("unit", [
+    "x <a ", 'x <b "', '<b a="', '<b a=">" ', "<div>x", "<b>x", "<p><x>y", "</p><div>", "<!-- ", "<script>x</script ", "<li><b>", "<",
+])
+def test_long_broken_pages_take_time_in_proportion(unit):
+    def seconds(size):
+        start = time.process_time()
+        main_text("<p><button><table>" + unit * (size // len(unit)) + "</p>" * (size // 40))
+        return time.process_time() - start
+
+    small, large = seconds(100_000), seconds(800_000)
+    assert large < 1 or large < 24 * small
