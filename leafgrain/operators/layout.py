@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from leafgrain.functions import meta, numeric
 from leafgrain.functions import text as tx
@@ -13,6 +14,8 @@ from leafgrain.sources.markup import HEADING_PATTERN, element_id, render_cells,
 
 # Rows of a paper are numbered and carried in blocks of this many positions.
 BLOCK = 4096
+#: Order of a paper's elements; text and level decide between equal indexes.
+READING_ORDER = ("element_index", "text", "level")
 
 # Label fragments and the element type they mean, first match wins.
 LABEL_TYPES = (
@@ -105,53 +108,47 @@ def layout_tables_assets(elements: DataFrame) -> DataFrame:
 
 
 def heading_paths(headings: DataFrame, missing_level: str = "root") -> DataFrame:
-    """Path before and after each heading of a paper (paper_id, element_index, text, level).
+    """Path in force after the n-th heading of a paper: (paper_id, heading_no, path).
 
-    A level-n heading keeps the first n-1 entries of the current path; padding
-    is dropped at once, so the state depends on order and is folded. Only the
-    headings of a paper are gathered, never its text. A heading without level
-    starts a new path (``root``) or goes one deeper (``deeper``).
+    ``headings``: paper_id, element_index, text, level. A level-n heading keeps the first n-1 entries of the current
+    path; padding is dropped at once. A heading without level starts a new path (``root``) or goes one deeper
+    (``deeper``); one with empty text changes nothing.
+
+    The i-th heading lies at depth ``min(depth before + 1, level)``, so at ``i + min(0, level_j - j for j <= i)``: a
+    running minimum. A path can only grow by one entry at a time, hence its entry at depth d is the last heading of that
+    depth. All windows read a paper's headings as a stream over one shuffle; nothing is gathered but the paths themselves.
     """
-    row = F.struct("element_index", "text", "level")
-    empty = F.array().cast("array<string>")
-    step_type = "array<struct<element_index:int,before:array<string>,after:array<string>>>"
-
-    def step(state: Column, h: Column) -> Column:
-        path = state["path"]
-        default = F.lit(1) if missing_level == "root" else F.size(path) + 1
-        level = F.greatest(F.coalesce(h["level"], default), F.lit(1))
-        after = F.when(h["text"] == "", path).otherwise(
-            F.concat(F.slice(path, F.lit(1), level - 1), F.array(h["text"]))
-        )
-        done = F.struct(
-            h["element_index"].cast("int").alias("element_index"), path.alias("before"),
-            after.alias("after"),
-        )
-        return F.struct(after.alias("path"), F.concat(state["out"], F.array(done)).alias("out"))
+    pushed = F.col("text").isNull() | (F.col("text") != "")
+    level = F.greatest(F.col("level"), F.lit(1))
+    level = level if missing_level == "root" else F.when(F.col("level").isNotNull(), level)
+    order = W.partitionBy("paper_id").orderBy(*READING_ORDER)
+    running = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = headings.select("paper_id", *READING_ORDER).withColumns({
+        "heading_no": F.row_number().over(order), "_n": F.count_if(pushed).over(running),
+    }).withColumn("_depth", F.col("_n") + F.least(F.lit(0), F.min(F.when(pushed, level - F.col("_n"))).over(running)))
 
-    start = F.struct(empty.alias("path"), F.array().cast(step_type).alias("out"))
-    folded = headings.groupBy("paper_id").agg(
-        F.aggregate(F.array_sort(F.collect_list(row)), start, step, lambda s: s["out"]).alias("out")
+    # One row per entry of each path: as many as the result has.
+    entries = rows.filter("_depth > 0").withColumn("_at", F.explode(F.sequence(F.lit(1), F.col("_depth").cast("int"))))
+    own = F.when(pushed & (F.col("_at") == F.col("_depth")), F.struct("text"))
+    same_depth = W.partitionBy("paper_id", "_at").orderBy("heading_no").rowsBetween(W.unboundedPreceding, 0)
+    entry = F.struct("_at", F.last(own, ignorenulls=True).over(same_depth)["text"].alias("text"))
+    return entries.withColumn("_entry", entry).groupBy("paper_id", "heading_no").agg(
+        F.transform(F.array_sort(F.collect_list("_entry")), lambda e: e["text"]).alias("path")
     )
-    return folded.select("paper_id", F.inline("out"))
 
 
 def heading_path_stack(elements: DataFrame, missing_level: str = "root") -> DataFrame:
     """Attach the heading path in force at each element (a heading sees the one before it)."""
-    headings = elements.filter("element_type = 'heading'").select(
-        "paper_id", "element_index", "text", "level"
+    heading = F.coalesce(F.col("element_type") == "heading", F.lit(False))
+    so_far = W.partitionBy("paper_id").orderBy(*READING_ORDER).rowsBetween(W.unboundedPreceding, 0)
+    numbered = elements.withColumn("_no", F.count_if(heading).over(so_far) - heading.cast("int"))
+    paths = heading_paths(elements.filter(heading), missing_level).select(
+        F.col("paper_id").alias("_paper"), F.col("heading_no").cast("bigint").alias("_at"), F.col("path").alias("heading_path")
     )
-    paths = heading_paths(headings, missing_level)
-    joined = elements.join(paths, ["paper_id", "element_index"], "left").withColumn(
-        "_block", F.floor(F.col("element_index") / BLOCK)
-    )
-    carried = carry_last(
-        joined, ["paper_id"], "_block", [F.col("element_index")], F.col("after"), "_path"
+    found = (F.col("_paper").eqNullSafe(F.col("paper_id"))) & (F.col("_at") == F.col("_no"))
+    return numbered.drop("heading_path").join(paths, found, "left").drop("_paper", "_at", "_no").withColumn(
+        "heading_path", F.coalesce("heading_path", F.array().cast("array<string>"))
     )
-    path = F.when(F.col("element_type") == "heading", F.col("before")).otherwise(F.col("_path"))
-    return carried.withColumn(
-        "heading_path", F.coalesce(path, F.array().cast("array<string>"))
-    ).drop("before", "after", "_path", "_block")
 
 
 def flat_heading_path(elements: DataFrame) -> DataFrame:
