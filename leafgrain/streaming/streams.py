@@ -6,6 +6,7 @@ so a batch replayed after a failure replaces itself instead of adding rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,6 +33,7 @@ TRANSITIONS = {
     ("running", "cancelled"): "cancelled",
     ("cancelled", "cancelled"): "cancelled",
 }
+CLOSED = ("completed", "failed", "cancelled")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -127,7 +129,7 @@ def run_states(events: DataFrame) -> DataFrame:
     begin = F.struct(
         F.lit("").alias("status"), F.lit(0).alias("attempt_count"), F.lit("").alias("last_error"),
         F.lit(0).alias("violations"),
-    )
+    ).cast("struct<status:string,attempt_count:int,last_error:string,violations:int>")  # a message's error may be null
 
     def step(state: Column, e: Column) -> Column:
         to = F.try_element_at(table, F.concat(state["status"], F.lit(">"), e["kind"]))
@@ -150,74 +152,99 @@ def run_states(events: DataFrame) -> DataFrame:
     return rows.select("run_id", F.aggregate("rows", begin, step).alias("s")).select("run_id", "s.*")
 
 
-def run_state_stream(events: DataFrame) -> DataFrame:
-    """Running state of each run, one row per run and micro-batch that touched it."""
-    transitions = dict(TRANSITIONS)
+def advance(state: tuple[str, int, str, int], kind: str, message: str | None) -> tuple[str, int, str, int]:
+    """State (status, attempts, last error, violations) of a run after one more message."""
+    status, attempts, error, violations = state
+    to = TRANSITIONS.get((status, kind))
+    if to is None:
+        return status, attempts, error, violations + 1
+    if kind == "claimed":
+        return to, attempts + 1, "", violations
+    return to, attempts, message if kind == "failed" else "cancelled_by_user" if kind == "cancelled" else error, violations
+
 
+def run_state_stream(events: DataFrame, delay: str = "10 minutes", keep_seconds: int = 7 * 86_400) -> DataFrame:
+    """Running state of each run, one row per run and micro-batch that touched it; use update mode.
+
+    ``events``: run_id, ts, event_id, kind, error. Messages count in the order of (ts, event_id), however they arrive:
+    those behind the watermark are folded into the run's state, later ones wait beside it and are replayed on it for each
+    row that is sent. So a row tells the state after all messages received, as ``run_states`` would. Messages later than
+    ``delay`` are dropped by the watermark. Event-time timers fold what waits when nothing else arrives, and forget a
+    closed run ``keep_seconds`` after its last message.
+    """
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, error, violations = state.get if state.exists else ("", 0, "", 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind, message in zip(rows["kind"], rows["error"]):
-            to = transitions.get((status, kind))
-            if to is None:
-                violations += 1
-                continue
-            if kind == "claimed":
-                attempts, error = attempts + 1, ""
-            elif kind == "failed":
-                error = message
-            elif kind == "cancelled":
-                error = "cancelled_by_user"
-            status = to
-        state.update((status, int(attempts), error, int(violations)))
-        yield pd.DataFrame([{
-            "run_id": key[0], "status": status, "attempt_count": attempts, "last_error": error,
-            "violations": violations,
-        }])
+        watermark = state.getCurrentWatermarkMs()
+        status, attempts, error, violations, waiting, last = state.get if state.exists else ("", 0, "", 0, "[]", 0)
+        settled, pending = (status, attempts, error, violations), [tuple(e) for e in json.loads(waiting)]
+        if not state.hasTimedOut:
+            for rows in frames:
+                error = [None if pd.isna(e) else e for e in rows["error"]]
+                pending += zip(rows["_micros"].tolist(), rows["event_id"].tolist(), rows["kind"], error)
+        pending.sort(key=lambda e: e[:2])
+        if pending:
+            last = max(last, pending[-1][0] // 1000)
+        while pending and pending[0][0] <= watermark * 1000:
+            settled = advance(settled, *pending.pop(0)[2:])
+        if not pending and settled[0] in CLOSED and last + keep_seconds * 1000 <= watermark:
+            state.remove()
+        else:
+            state.update((*settled, json.dumps(pending), last))
+            if pending or settled[0] in CLOSED:
+                due = pending[0][0] // 1000 + 1 if pending else last + keep_seconds * 1000
+                state.setTimeoutTimestamp(max(due, watermark + 1))
+        if state.hasTimedOut:
+            return
+        for _, _, kind, message in pending:
+            settled = advance(settled, kind, message)
+        yield pd.DataFrame([(key[0], *settled)], columns=["run_id", "status", "attempt_count", "last_error", "violations"])
 
     fields = "status string, attempt_count int, last_error string, violations int"
     return (
-        events.filter("kind <> 'heartbeat'").groupBy("run_id")
-        .applyInPandasWithState(fold, f"run_id string, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
+        events.filter("kind <> 'heartbeat'").select("run_id", "ts", "event_id", "kind", "error", F.unix_micros("ts").alias("_micros"))
+        .withWatermark("ts", delay).groupBy("run_id")
+        .applyInPandasWithState(
+            fold, f"run_id string, {fields}", f"{fields}, waiting string, last bigint", "update",
+            GroupStateTimeout.EventTimeTimeout,
+        )
     )
 
 
 def stale_runs_stream(events: DataFrame, kind: str = "parse", delay: str = "10 minutes") -> DataFrame:
     """Runs whose activity stopped for too long, found by event-time timeouts.
 
-    ``events``: run_id, ts, event_id, kind. An open run that passes its deadline is
-    requeued, or failed once its attempts are used up.
+    ``events``: run_id, ts, event_id, kind. An open run that passes its deadline is requeued, or failed once its attempts
+    are used up. The newest message by (ts, event_id) tells whether a run is open, in whatever order messages arrive.
     """
     seconds, most, error = rn.STALE_SECONDS[kind], rn.MAX_ATTEMPTS[kind], rn.STALE_ERROR[kind]
 
     def watch(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, is_open, last = state.get if state.exists else (0, False, 0)
+        attempts, is_open, last, event = state.get if state.exists else (0, False, 0, 0)
         if state.hasTimedOut:
             failed = attempts >= most
             if failed:
                 state.remove()
             else:
-                state.update((attempts, False, last))
+                state.update((attempts, False, last, event))
             yield pd.DataFrame([{
                 "run_id": key[0], "attempt_count": attempts,
                 "status": "failed" if failed else "queued", "last_error": error,
             }])
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for name, ts in zip(rows["kind"], rows["ts"]):
-            attempts += name == "claimed"
-            is_open = name in ("claimed", "heartbeat")
-            last = int(ts.timestamp() * 1000)
-        state.update((int(attempts), bool(is_open), int(last)))
+        for rows in frames:
+            for name, micros, number in zip(rows["kind"], rows["_micros"].tolist(), rows["event_id"].tolist()):
+                attempts += name == "claimed"
+                if (micros, number) >= (last, event):
+                    is_open, last, event = name in ("claimed", "heartbeat"), micros, number
+        state.update((int(attempts), bool(is_open), last, event))
         if is_open:
-            deadline = max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(deadline)
+            state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
     return (
-        events.withWatermark("ts", delay).groupBy("run_id")
+        events.select("run_id", "ts", "event_id", "kind", F.unix_micros("ts").alias("_micros"))
+        .withWatermark("ts", delay).groupBy("run_id")
         .applyInPandasWithState(
             watch, "run_id string, attempt_count int, status string, last_error string",
-            "attempts int, is_open boolean, last bigint", "append", GroupStateTimeout.EventTimeTimeout,
+            "attempts int, is_open boolean, last bigint, event bigint", "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
 
