@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrain.operators import cards as cd
+from leafgrain.operators import extraction as xt
 from leafgrain.operators import listing as ls
 from leafgrain.operators import retrieval as rt
 from leafgrain.operators import search_index as si
@@ -113,6 +114,12 @@ class Engine:
     def paper_summary(self) -> DataFrame:
         return cd.paper_summary(self.tables["papers"], self.tables["passages"], self.cards)
 
+    def analyse(self, extractor: xt.Extractor, folder: str, run_id: str, now: Column, **limits) -> xt.Extraction:
+        """Extract cards of all parsed papers with the caller's extractor; the engine's card tables become the new ones."""
+        found, cards, links = xt.analyse(self.tables, extractor, folder, F.lit(run_id), now, **limits)
+        self.tables = {**self.tables, "knowledge_cards": cards, "knowledge_card_sources": links}
+        return found
+
     def full_text(self, papers: DataFrame) -> DataFrame:
         return rt.full_text(papers, self.tables["passages"])
 

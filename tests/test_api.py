@@ -62,3 +62,36 @@ def test_engine_over_stored_indexes(spark, tmp_path):
     for given in ((asked, None), (asked, vectors)):
         want = sorted(map(str, plain.search(*given).select("query_id", "passage_id", "rank").collect()))
         assert want and all(sorted(map(str, e.search(*given).select("query_id", "passage_id", "rank").collect())) == want for e in (indexed, opened))
+
+
+def test_engine_replaces_cards_by_extracted_ones(spark, tmp_path):
+    import json
+
+    rows = {name: spark.createDataFrame([], schema) for name, schema in sc.TABLE_SCHEMAS.items()}
+
+    def fill(name, *values):
+        columns = sc.TABLE_SCHEMAS[name].fieldNames()
+        rows[name] = spark.createDataFrame([tuple(v.get(c) for c in columns) for v in values], sc.TABLE_SCHEMAS[name])
+
+    def extract(batch):
+        lines = [json.loads(line) for line in batch["sources"].split("\n")]
+        return [{"card_type": "Method", "summary": x["text"], "source_passage_ids": [x["source_id"]], "evidence_quote": x["text"],
+                 "reasoning_summary": "quoted", "confidence": 0.9} for x in lines]
+
+    fill("papers", *[{"id": p, "space_id": "s", "title": p, "parse_status": "parsed" if p == "p" else "pending"} for p in "pq"])
+    fill("passages", *[{"id": f"{p}0", "paper_id": p, "space_id": "s", "section": "Method", "page_number": 1, "paragraph_index": 0,
+                        "original_text": f"The method of {p} compares graphs by their spectra.", "heading_path": ["Method"], "passage_type": "method",
+                        "quality_flags": []} for p in "pq"])
+    old = {"space_id": "s", "paper_id": "p", "card_type": "Method", "evidence": {"source_passage_ids": ["p0"]}}
+    fill("knowledge_cards", {**old, "id": "old", "created_by": "ai", "user_edited": False}, {**old, "id": "mine", "created_by": "user"},
+         {**old, "id": "kept", "paper_id": "q", "created_by": "ai", "user_edited": False})
+    engine = Engine.of(spark, rows)
+    found = engine.analyse(extract, str(tmp_path), "run-1", F.lit("2024-01-01").cast("timestamp"), waves=1, tasks=1)
+    assert [(r["paper_id"], r["status"]) for r in found.outcomes.collect()] == [("p", "completed")]
+    cards = {r["id"]: r for r in engine.cards.collect()}
+    new = set(cards) - {"mine", "kept"}
+    assert len(new) == 1 and "old" not in cards
+    card = cards[new.pop()]
+    assert card["source_passage_ids"] == ["p0"] and card["analysis_run_id"] == "run-1" and card["created_by"] == "ai"
+    assert [r["passage_id"] for r in engine.tables["knowledge_card_sources"].collect()] == ["p0"]
+    assert {r["id"] for r in engine.card_view("methods").collect()} == set(cards)
