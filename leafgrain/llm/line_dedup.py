@@ -48,6 +48,34 @@ def window_at(seq: Column, i: Column, lines: int, words: int) -> Column:
     return out
 
 
+def picks_of(seq: Column, lines: int, words: int) -> Column:
+    """array<struct<at, anchor, around>>: the lines that some window chose as its anchor, once each.
+
+    ``around`` holds the windows that chose the line. They start at most ``lines - 1`` entries before it, so each line
+    looks at that many windows and the work grows with the lines.
+    """
+    def pick(both: Column, k: Column) -> Column:
+        line = F.get(both["seq"], k)
+        near = F.array(*(F.get(both["windows"], k - j) for j in reversed(range(lines))))
+        around = F.transform(
+            F.filter(near, lambda w: w["at"] == line["p"]),
+            lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), w["w1"].alias("w1"), w["w2"].alias("w2")))
+        return F.struct(line["p"].alias("at"), line["h"].alias("anchor"), around.alias("around"))
+
+    def chosen(both: Column) -> Column:
+        return F.filter(F.transform(both["numbers"], lambda k: pick(both, k)), lambda x: F.size(x["around"]) > 0)
+
+    def windows(both: Column) -> Column:
+        return once(F.struct(both["seq"].alias("seq"), both["numbers"].alias("numbers"), F.transform(
+            both["numbers"], lambda i: window_at(both["seq"], i, lines, words)).alias("windows")), chosen)
+
+    def numbered(x: Column) -> Column:
+        numbers = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1))
+        return once(F.struct(x.alias("seq"), numbers.alias("numbers")), windows)
+
+    return once(seq, numbered)
+
+
 def dedup_lines(docs: DataFrame, lines: int = RUN_LINES, words: int = RUN_WORDS, removed_as: str | None = None) -> DataFrame:
     """``docs`` with every later occurrence of a repeated run removed from ``text``.
 
@@ -55,10 +83,13 @@ def dedup_lines(docs: DataFrame, lines: int = RUN_LINES, words: int = RUN_WORDS,
 
     A run is ``lines`` consecutive lines with a word, or fewer that hold ``words`` words; lines are compared without
     white space at their ends. Of equal runs the first by (doc_id, line) stays, in whichever document; lines that only
-    later runs cover go, with the blank lines inside. Winnowing keeps one anchor for each window, the least line hash;
-    only anchors found in several places go on. Around such an anchor the match is extended both ways over all
-    windows that chose it, each compared with the first place of the same content, and the spans join into runs. An
-    anchor or run that stands in any number of documents is met by its first place only, never by pairs.
+    later runs cover go, with the blank lines inside.
+
+    Winnowing selects one line of each window, the least line hash; only selected lines leave a task, one row each.
+    Their positions are joined by hash: a line that stands in one place only goes no further. Around one that stands
+    in several, the match is extended both ways, window by window over those that chose it: each is held against the
+    first place of the same content, and overlapping spans join into runs. Every window has its selected line, so no
+    repeated run is missed. What stands in any number of documents is met by its first place only, never by pairs.
 
     Null text stays null, an empty one empty. A null doc_id sorts first. Rows with equal doc_id and text are one
     document and end alike. Columns other than doc_id and text pass through, whatever their names; an empty table
@@ -68,15 +99,11 @@ def dedup_lines(docs: DataFrame, lines: int = RUN_LINES, words: int = RUN_WORDS,
     # Only two columns are read before the end, under names of our own, so other columns cannot clash.
     slim = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"))
 
-    def windows_of(seq: Column) -> Column:
-        numbers = F.when(F.size(seq) > 0, F.sequence(F.lit(0), F.size(seq) - 1))
-        return F.transform(numbers, lambda i: window_at(seq, i, lines, words))
-
-    found = slim.select("_id", F.xxhash64("_text").alias("_hash"), F.explode_outer(once(hashed_lines(F.col("_text")), windows_of)).alias("_w"))
-    windows = materialize(found.where(F.col("_w").isNotNull()).select(*key, "_w.*"), "windows")
+    found = slim.select("_id", F.xxhash64("_text").alias("_hash"), F.explode_outer(picks_of(hashed_lines(F.col("_text")), lines, words)).alias("_w"))
+    picks = materialize(found.where(F.col("_w").isNotNull()).select(*key, "_w.*"), "picks")
     place = F.xxhash64(*key, "at")
-    anchors = windows.groupBy("anchor").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high").select("anchor")
-    matched = windows.join(anchors, "anchor", "left_semi").select(*key, "s", "e", "w1", "w2")
+    repeated = picks.groupBy("anchor").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high").select("anchor")
+    matched = picks.join(repeated, "anchor", "left_semi").select(*key, F.inline("around"))
     here = F.struct("_id", "_hash", "s")
     firsts = matched.groupBy("w1", "w2").agg(F.min(here).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = matched.join(firsts, ["w1", "w2"]).where(~here.eqNullSafe(F.col("_first")))
