@@ -13,6 +13,7 @@ from leafgrain.plans.corpus import MODEL, PROVIDER, Corpus
 from leafgrain.plans.element_queries import REGISTERED, files_of, known_papers
 from leafgrain.plans.registry import query, setup
 from leafgrain.plans.search_queries import HASHED, stored_vectors
+from leafgrain.sources.versions import Versions
 from leafgrain.streaming import streams as st
 
 @setup
@@ -69,6 +70,33 @@ def stream_chunk_and_index(c: Corpus):
     )
 
 
+@query("stream_replace_passages", o.sql(
+    f"{CHUNK_COLUMNS} WHERE paper_id NOT IN (SELECT 'doc-' || doc_id FROM documents WHERE CAST(substr(source, 4, 9) AS INT) % 7 = 6)",
+    "elements", recursive=True, **CHUNKS,
+))
+def stream_replace_passages(c: Corpus):
+    """Every document arrives as a draft in capitals, then as it is; those of deleted spaces are withdrawn at the second time."""
+    root = work_dir(c.spark, "replace")
+    versions = Versions(c.spark, f"{root}/versions")
+    gone = c.spaces.filter("status = 'deleted'").select(F.col("id").alias("source"), F.lit(True).alias("_gone"))
+    drafts = c.documents.withColumns({"text": F.upper("text"), "withdrawn": F.lit(False)})
+    final = c.documents.join(gone, "source", "left").withColumn("withdrawn", F.coalesce("_gone", F.lit(False)))
+
+    def papers(batch: DataFrame) -> DataFrame:
+        return batch.select(F.concat(F.lit("doc-"), "doc_id").alias("paper_id"), F.col("source").alias("space_id"), F.col("withdrawn").alias("deleted"))
+
+    for step, arriving in enumerate((drafts, final)):
+        arriving.select(*drafts.columns).write.parquet(f"{root}/in/{step}")
+        stream = c.spark.readStream.schema(drafts.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        finish(st.stream_replace_passages(
+            stream, lambda batch: chunks(BatchCorpus(c, batch.drop("withdrawn"))), papers, versions, f"{root}/state",
+        ))
+    return versions.current("passages").select(
+        "id", "paper_id", "paragraph_index", "content_hash", "page_number", "original_text", "passage_type",
+        F.array_join("element_ids", ",").alias("element_ids"), "section", "token_count",
+    )
+
+
 @query(
     "stream_embedding_delta",
     o.sql(

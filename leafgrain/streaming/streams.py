@@ -19,7 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from leafgrain.operators import embeddings as em
 from leafgrain.operators import retrieval as rt
 from leafgrain.operators import runs as rn
+from leafgrain.operators.keyed import top_k
 from leafgrain.sources import tables as tb
+from leafgrain.sources.versions import Versions
 
 # Lifecycle of a run. (state, message) -> next state; others are violations.
 TRANSITIONS = {
@@ -92,6 +94,29 @@ def stream_chunk_and_index(
     return start(documents, each, checkpoint)
 
 
+def stream_replace_passages(
+    documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], papers: Callable[[DataFrame], DataFrame],
+    versions: Versions, checkpoint: str, arrived: Column | None = None,
+) -> StreamingQuery:
+    """Chunk and index arriving documents, where a paper that arrives again replaces its passages and postings.
+
+    ``chunk`` turns a batch of documents into passages, ``papers`` into (paper_id, space_id, deleted). With ``arrived``,
+    only the newest row of a ``doc_id`` in a batch counts; without it a batch holds a document once. Read the result
+    with ``versions.current("passages")``; ``versions.replaced`` and ``versions.written`` of a batch are what
+    ``remap_by_hash`` takes to move citations.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if arrived is not None:
+            batch = top_k(batch.withColumn("_at", arrived), ["doc_id"], [F.col("_at").desc_nulls_last()], 1, "_rank").drop("_at", "_rank")
+        named = papers(batch)
+        passages = chunk(batch).join(named.filter("deleted").select("paper_id", "space_id"), ["paper_id", "space_id"], "left_anti")
+        path = f"{versions.root}/passages/version={batch_id}"
+        passages.write.mode("overwrite").parquet(path)
+        versions.put(batch_id, named, postings=rt.build_postings(batch.sparkSession.read.parquet(path)))
+
+    return start(documents, each, checkpoint)
+
+
 def stream_embedding_delta(
     documents: DataFrame, passages_of: Callable[[DataFrame], DataFrame], embeddings: DataFrame,
     encoder: em.Encoder, provider: str, model: str, now: Column, vectors_path: str, stats_path: str,

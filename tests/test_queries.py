@@ -10,7 +10,7 @@ ROOT = "/root/testdata/sf0.001"
 SAMPLE = [
     "count_tokens", "register_documents", "markdown_to_elements", "heading_path_stack", "mark_page_chrome",
     "chunk_documents", "overlap_provenance", "fts_search", "vector_search", "hybrid_search", "stored_fts_search", "stored_vector_search", "sync_vector_lists", "fts_snippets",
-    "highlight_snippet", "embedding_plan",
+    "highlight_snippet", "embedding_plan", "stream_replace_passages",
     "promote_metadata", "analysis_batches", "verify_cards", "dedup_rank_cards", "enrich_cards", "remap_by_hash",
     "page_signals", "paper_status_rollup", "parse_eval_metrics",
 ]
