@@ -123,12 +123,17 @@ def cited_support(cards: DataFrame, passages: DataFrame, threshold: float = THRE
     ).select("id", F.col("_missing.passage_id").alias("missing_ids"), "supported")
 
 
+#: Characters of the pieces that short quotes are looked up by.
+GRAM = 3
+
+
 def quoted_anywhere(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str) -> DataFrame:
     """Whether each normalized ``quote`` stands in any normalized ``text``.
 
     A run of letters and digits of any script with other characters of the quote on both sides is a whole run of every
     text that holds the quote. So a quote meets only the texts that hold the rarest of its runs; only runs that some
-    quote has are counted. Quotes without such a run (one word, say, or none) are compared with every text, each once.
+    quote has are counted. Quotes without such a run (one word, say, or none) go by ``quoted_by_grams``. A null quote
+    stands nowhere, an empty one in every text that is not null.
     """
     def runs(column: str, pattern: str) -> Column:
         found = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))
@@ -137,21 +142,46 @@ def quoted_anywhere(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id:
     keys = runs("quote", r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]++(?=[^\p{L}\p{N}])")
     asked = quotes.select(quote_id, F.explode(keys).alias("token"))
     held = texts.select(text_id, F.explode(runs("text", r"[\p{L}\p{N}]++")).alias("token"))
-    held = held.join(asked.select("token").distinct(), "token", "left_semi")
-    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(counts, "token", "left").groupBy(quote_id).agg(
-        F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")
-    )
-    met = rarest.join(held, "token").join(texts, text_id).join(quotes, quote_id)
+    met = by_rarest(asked, quote_id, held, "token").join(texts, text_id).join(quotes, quote_id)
     found = met.filter(F.col("text").contains(F.col("quote"))).select(quote_id)
     short = quotes.filter(F.size(keys) == 0).select("quote").distinct()
-    held_short = texts.select("text").join(short, F.col("text").contains(F.col("quote"))).select("quote").distinct()
-    found = found.unionByName(quotes.join(held_short, "quote").select(quote_id)).distinct()
+    found = found.unionByName(quotes.join(quoted_by_grams(short, texts, text_id), "quote").select(quote_id)).distinct()
     return quotes.join(found.withColumn("quoted", F.lit(True)), quote_id, "left").withColumn(
         "quoted", F.coalesce("quoted", F.lit(False))
     )
 
 
+def by_rarest(asked: DataFrame, quote_id: str, held: DataFrame, key: str) -> DataFrame:
+    """Each quote with the rows of ``held`` that have its rarest key; a key that none has leaves no row."""
+    held = held.join(asked.select(key).distinct(), key, "left_semi")
+    counts = held.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, key, "left").groupBy(quote_id).agg(
+        F.min_by(key, F.struct(F.coalesce("n", F.lit(0)), key)).alias(key)
+    )
+    return rarest.join(held, key)
+
+
+def quoted_by_grams(quotes: DataFrame, texts: DataFrame, text_id: str) -> DataFrame:
+    """Those of some distinct quotes (``quote``) that stand in any text, found by pieces of ``GRAM`` characters.
+
+    A text is broken into its pieces of up to ``GRAM`` characters, each once, in one pass. A quote of that length is
+    found by its piece alone; a longer one meets the texts that hold the rarest of its pieces. Where there is no quote,
+    no text is broken up.
+    """
+    def grams(column: str, size: int) -> Column:
+        return F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+    any_quote = quotes.agg(F.count(F.lit(1)) > 0).scalar()
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *(grams("text", size) for size in range(1, GRAM + 1))))
+    held = texts.filter(any_quote & F.col("text").isNotNull()).select(text_id, F.explode(pieces).alias("gram"))
+    small = quotes.filter(F.length("quote") <= GRAM)
+    exact = small.join(held.select(F.col("gram").alias("quote")), "quote", "left_semi")
+    large = quotes.filter(F.length("quote") > GRAM)
+    asked = large.select("quote", F.explode(F.array_distinct(grams("quote", GRAM))).alias("gram"))
+    met = by_rarest(asked, "quote", held, "gram").join(texts.select(text_id, "text"), text_id)
+    return exact.unionByName(met.filter(F.col("text").contains(F.col("quote"))).select("quote").distinct())
+
+
 def verify_cards(cards: DataFrame, passages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Cards with ``accepted``, ``reason`` and ``rejected_ids``.
 

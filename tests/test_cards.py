@@ -144,3 +144,18 @@ def test_prompt_payloads_are_whole_unless_limited(spark):
         rows = {r.batch_index: r for r in an.render_prompt_payload(batches, prepared, limit=limit).collect()}
         assert json.loads(rows[0].sources)["text"] == first and json.loads(rows[1].sources)["text"] == "short"
         assert (rows[0].was_cut, rows[1].was_cut) == (limit is not None, False)
+
+def test_short_quotes_are_found_by_pieces(spark):
+    rng = random.Random(5)
+    alphabet = "abc é中文字😀-'"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    asked = ["", "a", "😀", "中文", "😀😀", "c😀b", *("".join(rng.choice(alphabet.replace(" ", "")) for _ in range(rng.randrange(1, 7))) for _ in range(150))]
+    asked += [t[i:i + 5] for t in texts for i in (3, 17)]
+    asked = sorted(set(asked))
+    quotes = spark.createDataFrame([(q,) for q in asked], "quote string")
+    frame = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id int, text string")
+    got = [r.quote for r in cd.quoted_by_grams(quotes, frame, "doc_id").collect()]
+    assert sorted(got) == [q for q in asked if any(q in t for t in texts)] and len(got) < len(asked)
+    assert not cd.quoted_by_grams(quotes, frame.filter("text is null"), "doc_id").count()
+    plan = cd.quoted_anywhere(quotes.withColumn("item", F.col("quote")), "item", frame, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
