@@ -111,8 +111,88 @@ class Engine:
             CARD_VIEWS[name],
         )
 
-    def paper_summary(self) -> DataFrame:
-        return cd.paper_summary(self.tables["papers"], self.tables["passages"], self.cards)
+    def spaces(self) -> DataFrame:
+        """The active space; no row where none is set or it is not active."""
+        named = self.tables["spaces"].withColumn("space_id", F.col("id"))
+        return ls.list_spaces(ls.scope_to_space(named, self.tables["spaces"], self.tables["app_state"]).drop("space_id"))
+
+    def papers(self, space_id: str | None = None) -> DataFrame:
+        return ls.list_papers(self.scoped("papers", space_id))
+
+    def elements(
+        self, limit: int = 100, element_type: str | None = None, page: int | None = None, space_id: str | None = None
+    ) -> DataFrame:
+        """First elements of each paper in reading order."""
+        return ls.list_elements(self.scoped("document_elements", space_id), limit, element_type, page)
+
+    def document_tables(self, space_id: str | None = None) -> DataFrame:
+        return ls.list_tables(self.scoped("document_tables", space_id))
+
+    def passages(self, space_id: str | None = None) -> DataFrame:
+        return ls.list_passages(self.scoped("passages", space_id))
+
+    def runs(self, kind: str = "analysis_runs", space_id: str | None = None) -> DataFrame:
+        """Runs of a kind (a table of runs), newest of each paper first."""
+        return ls.list_runs(self.scoped(kind, space_id))
+
+    def newest_cards(self, limit: int = 100, space_id: str | None = None) -> DataFrame:
+        """Newest cards of the space with titles and checked sources."""
+        cards = ls.scope_to_space(self.cards, self.tables["spaces"], self.tables["app_state"], space_id)
+        newest = cd.newest_cards(cards, ["space_id"], limit)
+        return self.enriched(cd.cards_with_titles(newest, self.tables["papers"]))
+
+    def enriched(self, cards: DataFrame) -> DataFrame:
+        return cd.enrich_cards(cards, self.tables["knowledge_card_sources"], self.tables["passages"])
+
+    def similar_results(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        """Full-text hits of each query with passage provenance, whatever its mode."""
+        return self.search(queries, None, limit)
+
+    def paper_summary(self, with_cards: bool = False) -> DataFrame:
+        """Papers with passage and card counts; ``with_cards`` adds the enriched cards of a paper as a list, by id."""
+        counts = cd.paper_summary(self.tables["papers"], self.tables["passages"], self.cards)
+        if not with_cards:
+            return counts
+        cards = self.enriched(self.cards)
+        row = F.struct("id", *[c for c in cards.columns if c not in ("id", "paper_id", "space_id")])
+        listed = cards.groupBy("paper_id", "space_id").agg(F.collect_list(row).alias("cards"))
+        by_id = F.array_sort("cards", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+        return counts.join(listed, ["paper_id", "space_id"], "left").withColumn("cards", by_id)
+
+    def edit_papers(self, edits: DataFrame) -> None:
+        """An agent's edits of papers of the active space (id and fields to overwrite; null, '' and 0 keep what is there)."""
+        fields = [
+            F.when(~F.col(c).cast("string").isin("", "0"), F.col(c)).alias(c) for c in edits.columns if c not in ("id", "space_id")]
+        homes = self.scoped("papers").select("id", "space_id")
+        known = edits.select("id", *fields).join(homes, "id")
+        self.tables = {**self.tables, "papers": ls.apply_paper_edits(self.tables["papers"], known, by_user=False)}
+
+    def add_cards(self, new: DataFrame) -> DataFrame:
+        """Store an agent's cards (id, paper_id, card_type, summary, source_passage_id) of the active space; returns the rejects.
+
+        A paper outside the active space is not found; an empty source counts as none.
+        """
+        homes = self.scoped("papers").select(F.col("id").alias("paper_id"), "space_id")
+        asked = new.join(homes, "paper_id", "left").withColumns({
+            "confidence": F.lit(1.0), "user_edited": F.lit(False),
+            "source_passage_id": F.when(F.col("source_passage_id") != "", F.col("source_passage_id"))})
+        accepted, rejected = cd.append_cards(asked, self.tables["papers"], self.tables["passages"], "agent")
+        old = self.tables["knowledge_cards"]
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema if f.name not in accepted.columns]
+        stored = accepted.select("*", *missing).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema])
+        self.tables = {**self.tables, "knowledge_cards": old.unionByName(stored)}
+        return rejected
+
+    def edit_cards(self, edits: DataFrame, now: Column) -> None:
+        """A user's edits of cards (id, space_id, summary, card_type, confidence; null keeps)."""
+        old = self.tables["knowledge_cards"]
+        edited = cd.apply_card_edits(old, edits, now).select(*old.columns)
+        self.tables = {**self.tables, "knowledge_cards": edited}
+
+    def delete_cards(self, ids: DataFrame) -> None:
+        """Remove cards (id, space_id) and their links."""
+        cards, links = cd.delete_cards(self.tables["knowledge_cards"], self.tables["knowledge_card_sources"], ids)
+        self.tables = {**self.tables, "knowledge_cards": cards, "knowledge_card_sources": links}
 
     def analyse(self, extractor: xt.Extractor, folder: str, run_id: str, now: Column, **limits) -> xt.Extraction:
         """Extract cards of all parsed papers with the caller's extractor; the engine's card tables become the new ones."""

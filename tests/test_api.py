@@ -95,3 +95,48 @@ def test_engine_replaces_cards_by_extracted_ones(spark, tmp_path):
     assert card["source_passage_ids"] == ["p0"] and card["analysis_run_id"] == "run-1" and card["created_by"] == "ai"
     assert [r["passage_id"] for r in engine.tables["knowledge_card_sources"].collect()] == ["p0"]
     assert {r["id"] for r in engine.card_view("methods").collect()} == set(cards)
+
+
+def test_engine_lists_edits_and_adds_in_the_active_space(spark):
+    from datetime import datetime
+
+    rows = {name: spark.createDataFrame([], schema) for name, schema in sc.TABLE_SCHEMAS.items()}
+
+    def fill(name, *values):
+        columns = sc.TABLE_SCHEMAS[name].fieldNames()
+        rows[name] = spark.createDataFrame([tuple(v.get(c) for c in columns) for v in values], sc.TABLE_SCHEMAS[name])
+
+    fill("spaces", {"id": "s", "status": "active"}, {"id": "t", "status": "active"})
+    fill("app_state", {"key": "active_space", "value": "s"})
+    fill("papers", *[{"id": p, "space_id": sp, "title": f"old {p}", "year": 2000, "imported_at": datetime(2024, 1, d)} for p, sp, d in (("p", "s", 1), ("q", "s", 2), ("r", "t", 3))])
+    fill("passages", *[{"id": f"{p}0", "paper_id": p, "space_id": sp, "section": "", "original_text": "graph", "quality_flags": []} for p, sp in (("p", "s"), ("r", "t"))])
+    fill("document_elements", *[{"id": f"e{i}", "paper_id": "p", "space_id": "s", "element_index": i, "element_type": "heading" if i % 2 else "paragraph", "page_number": i // 2} for i in range(6)])
+    fill("analysis_runs", *[{"id": f"r{i}", "paper_id": "p", "space_id": "s", "started_at": datetime(2024, 1, 1 + i)} for i in range(2)], {"id": "x", "paper_id": "r", "space_id": "t"})
+    fill("knowledge_cards", *[{"id": f"c{i}", "space_id": "s", "paper_id": "p", "card_type": "Method", "summary": "m", "evidence": {"source_passage_ids": ["p0", "ghost"]}, "created_at": datetime(2024, 1, 1 + i)} for i in range(3)])
+    engine = Engine.of(spark, rows)
+
+    def ids(df):
+        return [r["id"] for r in df.collect()]
+
+    assert ids(engine.spaces()) == ["s"] and ids(engine.papers()) == ["q", "p"] and ids(engine.papers("t")) == []
+    assert sorted(ids(engine.elements(2))) == ["e0", "e1"] and sorted(ids(engine.elements(element_type="heading", page=1))) == ["e3"]
+    assert ids(engine.passages()) == ["p0"] and ids(engine.runs()) == ["r1", "r0"] and ids(engine.document_tables()) == []
+    newest = engine.newest_cards(2).collect()
+    assert sorted(r["id"] for r in newest) == ["c1", "c2"] and all(r["source_passage_ids"] == ["p0"] for r in newest)
+    asked = spark.createDataFrame([(1, "s", "graph", "hybrid")], "query_id bigint, space_id string, query string, mode string")
+    assert [r["passage_id"] for r in engine.similar_results(asked).collect()] == ["p0"]
+    summary = {r["paper_id"]: r for r in engine.paper_summary(with_cards=True).collect()}
+    assert [c["id"] for c in summary["p"]["cards"]] == ["c0", "c1", "c2"] and summary["p"]["card_count"] == 3 and summary["q"]["cards"] is None
+    assert [x["passage_id"] for x in summary["p"]["cards"][0]["source_passages"]] == ["p0"]
+
+    engine.edit_papers(spark.createDataFrame([("p", "new", 0), ("q", "", 2020), ("r", "stolen", 1)], "id string, title string, year int"))
+    assert {r["id"]: (r["title"], r["year"]) for r in engine.tables["papers"].collect()} == {"p": ("new", 2000), "q": ("old q", 2020), "r": ("old r", 2000)}
+    rejected = engine.add_cards(spark.createDataFrame(
+        [("n1", "p", "Method", "ok", "p0"), ("n2", "p", "Nonsense", "x", ""), ("n3", "r", "Method", "x", ""), ("n4", "q", "Claim", "x", "p0"), ("n5", "q", "Claim", "ok", "")],
+        "id string, paper_id string, card_type string, summary string, source_passage_id string"))
+    assert sorted(ids(rejected)) == ["n2", "n3", "n4"]
+    engine.edit_cards(spark.createDataFrame([("c0", "s", "better", None, 0.5)], "id string, space_id string, summary string, card_type string, confidence double"), F.current_timestamp())
+    engine.delete_cards(spark.createDataFrame([("c1", "s")], "id string, space_id string"))
+    cards = {r["id"]: r for r in engine.tables["knowledge_cards"].collect()}
+    assert sorted(cards) == ["c0", "c2", "n1", "n5"] and cards["c0"]["summary"] == "better" and cards["c0"]["user_edited"]
+    assert cards["n1"]["space_id"] == "s" and cards["n1"]["confidence"] == 1.0 and cards["n5"]["source_passage_id"] is None
