@@ -147,14 +147,21 @@ def run_states(c: Corpus):
 
 @query("run_state_stream", STATE_SQL)
 def run_state_stream(c: Corpus):
-    """State after the last micro-batch that touched each run; messages arrive in several, up to an hour late."""
+    """State after the last micro-batch that touched each run; messages arrive in several, up to an hour late.
+
+    Each quarter is written when those before it are done, as files of one folder would be read in any order.
+    """
     root = work_dir(c.spark, "states")
     events = with_error(c.run_events).select("run_id", "ts", "event_id", "kind", "error")
     arrived = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
-    events.repartitionByRange(4, arrived).write.parquet(f"{root}/in")
-    live = c.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    live = st.run_state_stream(live, "2 hours")
-    finish(st.start(live, lambda b, i: st.write_batch(b, f"{root}/out", i), f"{root}/state", "update"))
+    first, last = events.agg(F.min(arrived), F.max(arrived)).first()
+    quarter = F.floor((arrived - F.lit(first)) * 4 / F.lit((last or 0) - (first or 0) + 1)).cast("int")
+    dealt = events.withColumn("_quarter", F.coalesce(quarter, F.lit(0)))
+    for step in range(4):
+        dealt.filter(F.col("_quarter") == step).drop("_quarter").write.parquet(f"{root}/in/{step}")
+        live = c.spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        live = st.run_state_stream(live, "2 hours")
+        finish(st.start(live, lambda b, i: st.write_batch(b, f"{root}/out", i), f"{root}/state", "update"))
     rows = c.spark.read.parquet(f"{root}/out")
     fields = F.struct("status", "attempt_count", "last_error", "violations")
     return rows.groupBy("run_id").agg(F.max_by(fields, "batch_id").alias("s")).select("run_id", "s.*")
