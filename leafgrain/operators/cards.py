@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrain.functions import text as tx
-from leafgrain.operators.keyed import cut_lineage, number_rows, top_k
+from leafgrain.operators.keyed import cut_lineage, number_rows, store_rows, top_k
 from leafgrain.schemas import CARD_TYPES, FINAL_CARDS
 
 KEYS = ["paper_id", "space_id"]
@@ -329,9 +329,12 @@ def card_contents(cards: DataFrame) -> DataFrame:
     Copies behave alike in duplicate detection, so however many there are, they
     are one row with a count and their best rank.
     """
-    tokens = F.array_sort(F.array_distinct(tx.summary_tokens(F.col("summary"))))
-    sources = F.array_sort(F.array_distinct("source_passage_ids"))
-    keyed = cards.withColumns({"tokens": tokens, "sources": sources})
+    # The comparison form and the tokens are made once a card, however often they are read.
+    normal = cards.withColumn("_normal", tx.once(tx.summary_norm(F.col("summary"))))
+    tokens = F.sort_array(F.array_distinct(tx.summary_words(F.col("_normal"))))
+    keyed = normal.withColumn("tokens", tx.once(tokens)).drop("_normal").withColumn(
+        "sources", F.array_sort(F.array_distinct("source_passage_ids"))
+    )
     # A card without tokens is similar to nothing, not even to its copies.
     alone = F.when(F.size("tokens") == 0, F.col("id")).otherwise("")
     keyed = keyed.withColumn(
@@ -389,9 +392,10 @@ def duplicate_card_pairs(cards: DataFrame, threshold: float = SIMILAR) -> DataFr
     """Similar contents with how many card pairs they stand for (copies included)."""
     keyed = card_contents(cards.withColumn("rank_order", F.struct("id")))
     group = [*KEYS, "card_type"]
-    contents = keyed.groupBy("content", *group, "tokens", "sources").agg(
+    # Read eight times below: words are made once.
+    contents = store_rows(keyed.groupBy("content", *group, "tokens", "sources").agg(
         F.min("rank_order").alias("rank_order"), F.count(F.lit(1)).alias("n")
-    )
+    ), "contents")
     pairs = duplicate_pairs(contents, threshold)
     counts = contents.select("content", "n", F.col("rank_order.id").alias("id"))
     between = (

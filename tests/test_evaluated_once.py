@@ -1,8 +1,11 @@
 """Texts are evaluated once a row, and small results show Spark their size."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from leafgrain.functions import text as tx
+from leafgrain.operators import cards as cd
 from leafgrain.operators import retrieval as rt
 from leafgrain.plans.corpus import Corpus
 
@@ -34,3 +37,27 @@ def test_hits_show_their_size(spark):
     hits = rt.fts_rank(c.queries, rt.build_postings(c.passages), rt.corpus_stats(c.passages), 5)
     assert hits.count() > 0
     assert int(hits._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
+
+
+def test_cards_are_dealt_before_their_texts_and_worded_once(spark):
+    c = Corpus(spark, ROOT)
+    assert "posexplode" not in plan(c.cards)
+    assert plan(c.cards).index("regexp_replace(") < plan(c.cards).index("RepartitionByExpression")
+    assert "regexp_" not in plan(cd.duplicate_card_pairs(c.cards))
+
+
+def test_analysis_metrics_read_stored_cards_and_passages(spark):
+    from leafgrain.plans.catalog import QUERIES
+
+    metrics = QUERIES["analysis_eval_metrics"](spark, ROOT)
+    assert "documents.parquet" not in str(metrics.inputFiles()) and metrics.count() == 1
+
+
+def test_pairs_of_long_texts(spark):
+    one = spark.createDataFrame([("\u4e00",), ("\u4e00\u4e01\u4e02 the x",), ("",)], "t string")
+    assert [r[0] for r in one.select(tx.summary_tokens(F.col("t"))).collect()] == [
+        ["\u4e00"], ["x", "\u4e00\u4e01", "\u4e01\u4e02"], []]
+    long = spark.createDataFrame([("\u4e00" * 6000,)], "t string").select(F.size(tx.summary_tokens(F.col("t"))).alias("n"))
+    began = time.perf_counter()
+    assert long.first()["n"] == 5999
+    assert time.perf_counter() - began < 20
