@@ -40,7 +40,7 @@ SCORED = dict(
 
 
 def search_parts(c: Corpus):
-    return rt.build_postings(c.passages), rt.corpus_stats(c.passages)
+    return rt.search_tables(c.passages)[:2]
 
 
 @query(
@@ -309,11 +309,15 @@ HYBRID = dict(
 )
 
 
+def hybrid_parts(c: Corpus, limit: int):
+    """The hits, and the homes of all passages (id, paper_id, space_id)."""
+    postings, stats, homes = rt.search_tables(c.passages)
+    hits = rt.hybrid_search(c.queries, c.query_vectors, homes, c.embeddings, postings, stats, limit)
+    return hits, homes
+
+
 def hybrid_hits(c: Corpus, limit: int = 50):
-    postings, stats = search_parts(c)
-    return rt.hybrid_search(
-        c.queries, c.query_vectors, c.passages, c.embeddings, postings, stats, limit
-    )
+    return hybrid_parts(c, limit)[0]
 
 
 @query(
@@ -377,7 +381,8 @@ def evidence_for_claim(c: Corpus):
     ),
 )
 def compare_with_literature(c: Corpus):
-    return rt.compare_with_literature(hybrid_hits(c, 10), c.passages, c.cards).select(
+    hits, homes = hybrid_parts(c, 10)
+    return rt.compare_with_literature(hits, homes, c.cards).select(
         "query_id", F.col("id").alias("card_id")
     )
 

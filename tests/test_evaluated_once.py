@@ -61,3 +61,16 @@ def test_pairs_of_long_texts(spark):
     began = time.perf_counter()
     assert long.first()["n"] == 5999
     assert time.perf_counter() - began < 20
+
+
+def test_hybrid_queries_read_counted_passages(spark):
+    from leafgrain.plans.catalog import QUERIES
+
+    rows = [("a", "p", "s", "", "b b"), ("n", "p", "s", "", "...")]
+    p = spark.createDataFrame(rows, "id string, paper_id string, space_id string, section string, original_text string")
+    postings, corpus, homes = rt.search_tables(p)
+    assert [tuple(r) for r in postings.collect()] == [("b", "a", "p", "s", 2, 2)]
+    assert [tuple(r) for r in corpus.collect()] == [(1, 2.0)] and homes.count() == 2
+    assert tuple(rt.search_tables(p.filter("id = 'n'"))[1].first()) == tuple(rt.corpus_stats(p.filter("id = 'n'")).first())
+    for name in ("hybrid_search", "fts_search"):
+        assert "documents.parquet" not in str(QUERIES[name](spark, ROOT).inputFiles())
