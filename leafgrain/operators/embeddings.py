@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from leafgrain.operators.keyed import number_rows
 from leafgrain.schemas import EMBED_BATCH
 
 Encoder = Callable[[list[str]], list[list[float]]]
+#: Vectors that leave an encoding task at once, about.
+WRITE_ROWS = 1024
 
 
 def vector_row_key() -> Column:
@@ -34,15 +37,8 @@ def latest_vector_by_hash(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def embedding_plan(
-    passages: DataFrame, embeddings: DataFrame, provider: str, model: str,
-    batch_size: int = EMBED_BATCH,
-) -> DataFrame:
-    """What to do with each passage: skip, reuse (with the vector) or embed.
-
-    Passages to embed get a batch number per parse run in reading order. A run
-    is numbered page by page, so a long run does not land in one task.
-    """
+def embedding_actions(passages: DataFrame, embeddings: DataFrame, provider: str, model: str) -> DataFrame:
+    """What to do with each passage: skip, reuse (with the vector) or embed."""
     mine = embeddings.filter((F.col("provider") == provider) & (F.col("model") == model))
     done = mine.select(F.col("passage_id").alias("id")).distinct().withColumn("_done", F.lit(True))
     vectors = latest_vector_by_hash(mine).select(
@@ -52,7 +48,7 @@ def embedding_plan(
     action = (
         F.when(F.col("_done"), "skip").when(F.col("_vector").isNotNull(), "reuse").otherwise("embed")
     )
-    planned = (
+    return (
         passages.join(done, "id", "left")
         .join(vectors, "content_hash", "left")
         .withColumn("action", action)
@@ -61,6 +57,18 @@ def embedding_plan(
         .withColumn("reused_from", F.when(F.col("action") == "reuse", F.col("reused_from")))
         .drop("_done", "_vector", "_dimension")
     )
+
+
+def embedding_plan(
+    passages: DataFrame, embeddings: DataFrame, provider: str, model: str,
+    batch_size: int = EMBED_BATCH,
+) -> DataFrame:
+    """What to do with each passage: skip, reuse (with the vector) or embed.
+
+    Passages to embed get a batch number per parse run in reading order. A run
+    is numbered page by page, so a long run does not land in one task.
+    """
+    planned = embedding_actions(passages, embeddings, provider, model)
     pending = planned.filter("action = 'embed'").select(
         "id", "parse_run_id", "page_number", "paragraph_index"
     )
@@ -87,25 +95,34 @@ def embed_passages(
     plan: DataFrame, encoder: Encoder, provider: str, model: str, now: Column,
     batch_size: int = EMBED_BATCH,
 ) -> DataFrame:
-    """Encode the passages a plan marks ``embed``, in Arrow batches on the workers."""
+    """Encode the passages a plan marks ``embed``, in Arrow batches on the workers.
+
+    The batch numbers of a plan are not read: ``embedding_actions`` suffices. The encoder gets ``batch_size`` texts a
+    call; vectors leave a task some ``WRITE_ROWS`` at a time.
+    """
     texts = plan.filter("action = 'embed'").select(
         "id", "content_hash",
         format_embedding_text(F.col("original_text"), F.lit(model), "passage").alias("text"),
     )
+    rows = max(1, WRITE_ROWS // batch_size) * batch_size
+
+    def vectors_of(texts: list[str]) -> Iterator[np.ndarray]:
+        for start in range(0, len(texts), batch_size):
+            asked = texts[start : start + batch_size]
+            vectors = encoder(asked)
+            if len(vectors) != len(asked) or any(len(v) == 0 for v in vectors):
+                raise VectorCountMismatch(f"encoder gave {len(vectors)} vectors for {len(asked)} passages")
+            yield from (np.asarray(v, dtype=np.float32) for v in vectors)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                vectors = encoder(part["text"].tolist())
-                if len(vectors) != len(part) or any(len(v) == 0 for v in vectors):
-                    raise VectorCountMismatch(
-                        f"encoder gave {len(vectors)} vectors for {len(part)} passages"
-                    )
+            for start in range(0, len(frame), rows):
+                part = frame.iloc[start : start + rows]
+                vectors = list(vectors_of(part["text"].tolist()))
                 yield pd.DataFrame({
                     "passage_id": part["id"].to_numpy(),
                     "dimension": [len(v) for v in vectors],
-                    "embedding": [[float(x) for x in v] for v in vectors],
+                    "embedding": vectors,
                     "content_hash": part["content_hash"].to_numpy(),
                 })
 

@@ -9,7 +9,7 @@ from leafgrain.operators import embeddings as em
 from leafgrain.operators import retrieval as rt
 from leafgrain.operators import search_index as si
 from leafgrain.operators import vector_index as vi
-from leafgrain.operators.keyed import work_dir
+from leafgrain.operators.keyed import store_rows, work_dir
 from leafgrain.plans import oracle_base as o
 from leafgrain.plans.corpus import MODEL, PROVIDER, Corpus
 from leafgrain.plans.registry import query, stamp
@@ -423,9 +423,10 @@ HASHED = dict(
 )
 
 
-def stored_vectors(c: Corpus):
-    hashes = c.passages.filter(F.col("doc_id") % 3 > 0) if "doc_id" in c.passages.columns else (
-        c.passages.filter(F.split("paper_id", "-")[1].cast("long") % 3 > 0)
+def stored_vectors(c: Corpus, passages=None):
+    passages = c.passages if passages is None else passages
+    hashes = passages.filter(F.col("doc_id") % 3 > 0) if "doc_id" in passages.columns else (
+        passages.filter(F.split("paper_id", "-")[1].cast("long") % 3 > 0)
     )
     return c.embeddings.join(
         hashes.select(F.col("id").alias("passage_id"), "content_hash"), "passage_id"
@@ -469,9 +470,11 @@ def apply_reuse(c: Corpus):
 
 @query("embed_passages")
 def embed_passages(c: Corpus):
-    """Every passage without a vector through the hashing encoder."""
+    """Every passage without a vector through the hashing encoder. Texts are made and hashed once; no batch is numbered."""
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    made = em.embed_passages(plan_of(c), em.hashing_encoder(16), PROVIDER, MODEL, now)
+    passages = store_rows(c.passages.select("id", "paper_id", "content_hash", "original_text"), "passages")
+    plan = em.embedding_actions(passages.drop("paper_id"), stored_vectors(c, passages), PROVIDER, MODEL)
+    made = em.embed_passages(plan, em.hashing_encoder(16), PROVIDER, MODEL, now)
     return made.select("passage_id", "dimension", F.array_max("embedding").alias("largest"))
 
 

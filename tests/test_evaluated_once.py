@@ -74,3 +74,23 @@ def test_hybrid_queries_read_counted_passages(spark):
     assert tuple(rt.search_tables(p.filter("id = 'n'"))[1].first()) == tuple(rt.corpus_stats(p.filter("id = 'n'")).first())
     for name in ("hybrid_search", "fts_search"):
         assert "documents.parquet" not in str(QUERIES[name](spark, ROOT).inputFiles())
+
+
+def test_embed_query_makes_texts_once_and_numbers_no_batch(spark):
+    from leafgrain.operators import embeddings as em
+    from leafgrain.plans.catalog import QUERIES
+
+    made = QUERIES["embed_passages"](spark, ROOT)
+    assert "Window" not in plan(made) and "documents.parquet" not in str(made.inputFiles())
+    rows = [(f"p{i}", f"h{i % 30}", f"word{i}") for i in range(50)]
+    passages = spark.createDataFrame(rows, "id string, content_hash string, original_text string").coalesce(1)
+    stored = spark.createDataFrame([("p0", "l", "m", 1, [1.0], "h0")], "passage_id string, provider string, model string,"
+                                   " dimension int, embedding array<float>, content_hash string").withColumn("created_at", F.current_timestamp())
+
+    def sizes(texts):
+        assert len(texts) <= 16
+        return [[float(len(texts)), float(text.split("word")[1])] for text in texts]
+
+    out = em.embed_passages(em.embedding_actions(passages, stored, "l", "m"), sizes, "l", "m", F.current_timestamp()).collect()
+    # p0 has a vector and p30 its content; the 48 others are three full batches.
+    assert {r["passage_id"]: list(r["embedding"]) for r in out} == {f"p{i}": [16.0, i] for i in range(50) if i not in (0, 30)}
