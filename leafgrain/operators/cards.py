@@ -366,21 +366,24 @@ def duplicate_pairs(contents: DataFrame, threshold: float = SIMILAR) -> DataFram
     )
     length = F.size("ordered") - F.ceil(F.size("ordered") * threshold).cast("int") + 1
     keyed = sized.join(ranked, "content").withColumn("prefix", F.slice("ordered", F.lit(1), length))
+    # The tokens stay behind: only their number travels with each rare token, and candidates look them up.
     spread = keyed.select(
-        *group, "content", "tokens", "sources", "prefix", "rank_order",
+        *group, "content", F.size("tokens").alias("n"), "sources", "prefix", "rank_order",
         F.explode("sources").alias("source"),
     ).withColumn("token", F.explode("prefix"))
     keys = [*group, "source", "token"]
-    columns = ["content", "tokens", "sources", "prefix", "rank_order"]
+    columns = ["content", "n", "sources", "prefix", "rank_order"]
     left = spread.select(*keys, *[F.col(c).alias(f"l_{c}") for c in columns])
     right = spread.select(*keys, *[F.col(c).alias(f"r_{c}") for c in columns])
     met = left.join(right, keys).filter(
         (F.col("l_rank_order") < F.col("r_rank_order"))
-        & (F.size("l_tokens") * threshold <= F.size("r_tokens"))
-        & (F.size("r_tokens") * threshold <= F.size("l_tokens"))
+        & (F.col("l_n") * threshold <= F.col("r_n"))
+        & (F.col("r_n") * threshold <= F.col("l_n"))
         & (F.array_min(F.array_intersect("l_sources", "r_sources")) == F.col("source"))
         & (F.array_min(F.array_intersect("l_prefix", "r_prefix")) == F.col("token"))
-    )
+    ).select(*group, "l_content", "r_content", "l_rank_order")
+    words = sized.select("content", "tokens")
+    met = met.join(words.toDF("l_content", "l_tokens"), "l_content").join(words.toDF("r_content", "r_tokens"), "r_content")
     similarity = tx.jaccard(F.col("l_tokens"), F.col("r_tokens"))
     return met.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select(
         *group, F.col("l_content").alias("better"), F.col("r_content").alias("worse"), "similarity",
