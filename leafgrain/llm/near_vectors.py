@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from leafgrain.llm.common import materialize
 from leafgrain.llm.graph import components
@@ -19,6 +20,8 @@ FIT_VECTORS = 16_384
 LISTS, SUBSPACES, CODEWORDS, ROUNDS = 64, 8, 256, 8
 #: Members of a list compared with each other at once.
 BLOCK = 512
+#: Bytes of components, in double precision, that a block of lists holds, about: what a task gets of either side.
+ROOM = 8 << 20
 #: What rounding may add to a distance.
 SLACK = 1e-6
 
@@ -73,9 +76,13 @@ class Quantizer:
         codes = np.stack([nearest(rest[:, a:b], w)[1] for a, b, w in zip(self.cuts, self.cuts[1:], self.words)], 1).astype(np.uint8)
         coded = np.concatenate([w[codes[:, s]] for s, w in enumerate(self.words)], 1)
         error = np.sqrt(((rest - coded) ** 2).sum(1))
-        apart = np.sqrt(nearest(self.centres, self.centres)[0])
-        probe = d - d[np.arange(len(d)), home][:, None] <= 2 * reach * apart[home] + SLACK
-        return home, codes, error, [np.flatnonzero(p).tolist() for p in probe]
+        return home, codes, error, [np.flatnonzero(p).tolist() for p in self.reached(units, home, np.arange(len(self.centres)), reach)]
+
+    def reached(self, units: np.ndarray, home: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
+        """Which of ``lists`` each vector must probe."""
+        d, own = nearest(units, self.centres[lists])[0], ((units - self.centres[home]) ** 2).sum(1)
+        apart = np.sqrt(nearest(self.centres, self.centres[lists])[0])
+        return d - own[:, None] <= 2 * reach * apart[home] + SLACK
 
     def table_distances(self, units: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Distance of each vector from each coded place of one list, by sums of looked-up subspace distances."""
@@ -123,18 +130,20 @@ def fit_quantizer(vectors: DataFrame, rows: int = FIT_VECTORS) -> dict[int, Quan
     return {width: Quantizer.fit(unit(np.array(found)), lists) for width, found in sorted(by_length.items())}
 
 
-def compare_blocks(quantizer: Quantizer, cosine: float, centre: int, ask: dict, base: dict) -> pa.Table:
-    """(v, hits, root): how many rows each asked class is linked to here, and stars that join what is linked."""
+def compare_lists(quantizer: Quantizer, cosine: float, centre: int, ask: dict, base: dict, both: bool) -> list[tuple[np.ndarray, ...]]:
+    """(v, hits, root) of the links between asked classes and one list: how many rows each is linked to here, and stars that
+    join what is linked. ``both``: the list's classes are not asked themselves, so theirs are counted, too."""
     reach = np.sqrt(2 - 2 * cosine)
     linked = quantizer.table_distances(ask["unit"], centre, base["codes"]) - base["error"] <= reach + SLACK
     linked &= ask["cls"][:, None] != base["cls"]
     a, b = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    if len(a):
-        near = ask["unit"][a] @ base["unit"][b].T >= cosine
-        linked[np.ix_(a, b)] &= near
-    hits = linked @ base["weight"]
+    if not len(a):
+        return []
+    linked[np.ix_(a, b)] &= ask["unit"][a] @ base["unit"][b].T >= cosine
+    a, b = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    linked = linked[np.ix_(a, b)]
     # Labels of what is connected inside this block, spread until they rest.
-    left, right = ask["cls"].copy(), base["cls"].copy()
+    left, right = ask["cls"][a], base["cls"][b]
     top = np.iinfo(np.int64).max
     while True:
         new_left = np.minimum(left, np.where(linked, right, top).min(1, initial=top))
@@ -142,10 +151,51 @@ def compare_blocks(quantizer: Quantizer, cosine: float, centre: int, ask: dict,
         if (new_left == left).all() and (new_right == right).all():
             break
         left, right = new_left, new_right
-    a, b = linked.any(1), linked.any(0)
-    return pa.table({
-        "v": np.concatenate([ask["cls"][a], base["cls"][b]]), "hits": np.concatenate([hits[a], np.zeros(b.sum(), np.int64)]),
-        "root": np.concatenate([left[a], right[b]])})
+    back = ask["weight"][a] @ linked if both else np.zeros(len(b), np.int64)
+    return [(ask["cls"][a], linked @ base["weight"][b], left), (base["cls"][b], back, right)]
+
+
+def compare_blocks(quantizer: Quantizer, cosine: float, ask: dict, base: dict, both: bool) -> pa.Table:
+    """(v, hits, root) of two blocks: each asked class against those lists of the other block that it probes."""
+    reach = float(np.sqrt(2 - 2 * cosine))
+    some = lambda side, at: {k: v[at] for k, v in side.items()}
+    base = some(base, np.argsort(base["home"], kind="stable"))
+    lists, starts = np.unique(base["home"], return_index=True)
+    ends, found = np.append(starts[1:], len(base["home"])), []
+    for at in range(0, len(ask["cls"]), 4 * BLOCK):
+        part = some(ask, slice(at, at + 4 * BLOCK))
+        probe = quantizer.reached(part["unit"], part["home"], lists, reach)
+        for k in np.flatnonzero(probe.any(0)).tolist():
+            asked = some(part, np.flatnonzero(probe[:, k]))
+            for b in range(starts[k], ends[k], BLOCK):
+                found += compare_lists(quantizer, cosine, int(lists[k]), asked, some(base, slice(b, min(b + BLOCK, ends[k]))), both)
+    return pa.table({c: np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i, c in enumerate(("v", "hits", "root"))})
+
+
+def block_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, base): the classes by pairs (i, j) of blocks of their label and width, i <= j; those of i ask those of j.
+
+    Only labels with more than one block need a place for each list; what tells it is a row for each of them.
+    """
+    own = ["label", "width"]
+    room = F.greatest(F.lit(BLOCK), F.floor(F.lit(ROOM) / (8 * F.col("width"))))
+    before = W.partitionBy(*own).orderBy("home").rowsBetween(W.unboundedPreceding, -1)
+    lists = classes.groupBy(*own, "home").agg(F.count("*").alias("n"))
+    lists = lists.withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / room).cast("int"))
+    lists = lists.withColumn("last", (F.col("first") + F.ceil(F.col("n") / room) - 1).cast("int"))
+    spans = lists.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("home", F.struct("first", "last")))).alias("at"), F.max("home").alias("most"), F.max("last").alias("top"))
+    spans = spans.where("top > 0").select(*own, F.transform(F.sequence(F.lit(0), "most"), lambda x: F.try_element_at("at", x)).alias("spans"))
+    spans = materialize(spans, "spans")
+    home = F.get("spans", F.col("home"))
+    block = F.coalesce(home["first"] + F.pmod(F.xxhash64("cls"), home["last"] - home["first"] + 1).cast("int"), F.lit(0))
+    placed = classes.join(spans, own, "left").withColumn("block", block)
+    held = F.filter(F.transform("probes", lambda p: F.get("spans", p)), lambda x: x.isNotNull())
+    targets = F.array_distinct(F.flatten(F.transform(held, lambda x: F.sequence(x["first"], x["last"]))))
+    asked = placed.select(*own, F.col("block").alias("i"), F.explode(F.when(F.col("spans").isNull(), F.array(F.lit(0))).otherwise(targets)).alias("j"), "cls", "data", "weight", "home")
+    asked = asked.where("j >= i")
+    met = materialize(asked.join(spans.select(*own), own, "left_semi").groupBy(*own, "j").agg(F.collect_set("i").alias("askers")), "met")
+    base = placed.withColumnRenamed("block", "j").join(met, [*own, "j"], "left")
+    return asked, base.withColumn("i", F.explode(F.coalesce("askers", F.array("j")))).select(*asked.columns, "codes", "error")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, quantizers: dict[int, Quantizer] | None = None) -> DataFrame:
@@ -153,8 +203,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, quantizers: dict[int,
 
     Vectors are compared when their labels are equal and not null, and their lengths are; each length has a quantizer of
     its own. Equal vectors of a label are one class with a
-    weight. A class lies in the list of its nearest centre and asks every list that may hold a neighbour. Lists are cut
-    into blocks of about ``BLOCK``, so a hot label or list gives more tasks, not larger ones; a task emits counts and
+    weight. A class lies in the list of its nearest centre and asks every list that may hold a neighbour. A label's lists
+    are joined into blocks of about ``ROOM``, and a list above that is cut into several, so a hot label or list gives more
+    tasks, not larger ones. A class is sent to a block once, however many of its lists it asks, and two blocks meet once:
+    links are mutual. A task emits counts and
     stars, never its pairs. Looked-up distances less each code's own error never exceed true ones, so nothing is lost
     before the exact rerank in double precision.
 
@@ -165,52 +217,48 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, quantizers: dict[int,
     coders = fit_quantizer(vectors) if quantizers is None else quantizers
     coder = lambda width: coders.get(width) or Quantizer.plain(width)
     reach = float(np.sqrt(2 - 2 * cosine))
+    # Single precision is kept as it is; it becomes double where it is compared.
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    kept = np.dtype("<f4" if kinds["embedding"] == "array<float>" else "<f8")
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data: list[bytes | None] = [None] * batch.num_rows
             rows, starts, ends, flat = usable(batch.column(1))
             for i, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist()):
-                data[i] = flat[a:b].tobytes()
+                data[i] = flat[a:b].astype(kept).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary())], ["vec_id", "label", "data"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False) // 8
+            widths = pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False) // kept.itemsize
             for width in np.unique(widths).tolist():
                 some = batch.filter(pa.array(widths == width))
-                home, codes, error, probes = coder(width).encode(unit(np.frombuffer(b"".join(some.column("data").to_pylist())).reshape(-1, width)), reach)
+                home, codes, error, probes = coder(width).encode(unit(np.frombuffer(b"".join(some.column("data").to_pylist()), kept).astype(float).reshape(-1, width)), reach)
                 yield pa.RecordBatch.from_arrays(
                     [*some.columns, pa.array([width] * len(home), pa.int32()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()),
                      pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
                     [*some.schema.names, "width", "home", "codes", "error", "probes"])
 
-    def side(table: pa.Table, s: str) -> dict:
+    def side(table: pa.Table, s: str, *more: str) -> dict:
         read = lambda c, kind: np.frombuffer(b"".join(table.column(c + s).to_pylist()), kind).reshape(table.num_rows, -1)
-        return {"cls": table.column("cls" + s).to_numpy(), "unit": unit(read("data", float)), "codes": read("codes", np.uint8),
-                "error": table.column("error" + s).to_numpy(), "weight": table.column("weight" + s).to_numpy()}
+        out = {c: table.column(c + s).to_numpy() for c in ("cls", "weight", "home", *more)} | {"unit": unit(read("data", kept).astype(float))}
+        return out | ({"codes": read("codes", np.uint8)} if more else {})
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("v", "hits", "root")})
-        return compare_blocks(coder(left.column("width0")[0].as_py()), cosine, left.column("cell0")[0].as_py(), side(left, "0"), side(right, "1"))
+        i, j = left.column("i0")[0].as_py(), left.column("j0")[0].as_py()
+        return compare_blocks(coder(left.column("width0")[0].as_py()), cosine, side(left, "0"), side(right, "1", "error"), i < j)
 
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     data = materialize(vectors.mapInArrow(raw, f"vec_id {kinds['vec_id']}, label {kinds['label']}, data binary"), "vectors")
     classes = data.where(F.col("label").isNotNull() & F.col("data").isNotNull()).groupBy("label", "data").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = classes.withColumn("cls", F.monotonically_increasing_id())
     coded = classes.mapInArrow(encode, ", ".join(f"{n} {t}" for n, t in classes.dtypes) + ", width int, home int, codes binary, error double, probes array<int>")
     classes = materialize(coded, "classes")
-    asked = classes.withColumn("cell", F.explode("probes"))
-    blocks = lambda df: df.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    base = classes.withColumn("cell", F.col("home"))
-    cells = blocks(base).withColumnRenamed("n", "bases").join(blocks(asked).withColumnRenamed("n", "asks"), ["label", "width", "cell"])
-    place = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = asked.join(cells, ["label", "width", "cell"]).withColumn("i", place("asks")).withColumn("j", every("bases"))
-    base = base.join(cells, ["label", "width", "cell"]).withColumn("j", place("bases")).withColumn("i", every("asks"))
-    names = ("label", "width", "cell", "i", "j", "cls", "data", "codes", "error", "weight")  # a cogroup needs columns of its own on either side
-    sides = [t.select(*(F.col(c).alias(f"{c}{s}") for c in names)).groupBy(*(f"{c}{s}" for c in names[:5])) for s, t in enumerate((asked, base))]
+    asked, base = block_pairs(classes)
+    names = ["label", "width", "i", "j", "cls", "data", "weight", "home"]  # a cogroup needs columns of its own on either side
+    sides = [t.select(*(F.col(c).alias(f"{c}{s}") for c in n)).groupBy(*(f"{c}{s}" for c in names[:4])) for s, (t, n) in enumerate(((asked, names), (base, [*names, "codes", "error"])))]
     found = materialize(sides[0].cogroup(sides[1]).applyInArrow(compare, "v bigint, hits bigint, root bigint"), "found")
     roots = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     hits = found.groupBy("v").agg(F.sum("hits").alias("hits"))
